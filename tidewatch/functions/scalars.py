@@ -46,8 +46,13 @@ def micros_between(start: Column, end: Column) -> Column:
 
 def seconds_since(then: Column, as_of: Column) -> Column:
     """Whole seconds from ``then`` to ``as_of``, truncated towards zero."""
-    micros = micros_between(then, as_of)
-    return (micros - micros % F.lit(MICROS)) / F.lit(MICROS)
+    return int_div(micros_between(then, as_of), F.lit(MICROS))
+
+
+def int_div(a: Column, b: Column) -> Column:
+    """Whole division of integers, truncated towards zero, null for a zero divisor."""
+    divisor = F.nullif(b, F.lit(0).cast("long"))
+    return ((a - a % divisor) / divisor).cast("long")
 
 
 def plus_seconds(at: Column, seconds: Column) -> Column:

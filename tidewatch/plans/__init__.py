@@ -1,0 +1 @@
+"""Whole computations put together from the operators."""
