@@ -836,7 +836,7 @@ def deadline_calendar(m):
 def order_business_days(m):
     """Orders per business day in Sweden and Finland."""
     dates = m.table("orders").select(F.to_date("o_orderdate").alias("date"))
-    open_days = business_days.business_days(dates, ["se", "fi"])
+    open_days = business_days.business_days(dates, ["se", "fi"], (1990, 2010))
     return open_days.groupBy(F.year("date").cast("long").alias("year")).agg(
         F.count(F.lit(1)).alias("orders"), F.countDistinct("date").alias("days")
     )

@@ -14,64 +14,52 @@ FIXED_HOLIDAYS = {
 EASTER_OFFSETS = [-2, 0, 1, 39, 49]
 
 
-def easter_sunday(year: Column) -> Column:
-    """Easter Sunday of a year: the Paschal full moon from the Metonic cycle, then the next Sunday.
+def with_easter(years: DataFrame) -> DataFrame:
+    """Adds ``easter``: the Sunday after the Paschal full moon of each ``year``.
 
-    Gregorian computus with the epact, in the form with the lunar and solar corrections named.
+    Gregorian computus by epact, with the solar and lunar corrections as columns of their own,
+    so that no step is repeated inside another one.
     """
-    def div(a: Column, b: int) -> Column:
-        return F.floor(a / F.lit(b))
-
-    century = div(year, 100) + 1
-    golden = year % 19 + 1
-    dropped_leap_days = div(century * 3, 4) - 12
-    moon_correction = div(century * 8 + 5, 25) - 5
-    sunday_letter = div(year * 5, 4) - dropped_leap_days - 10
-    raw_epact = F.pmod(golden * 11 + 20 + moon_correction - dropped_leap_days, F.lit(30))
-    epact = F.when(
-        ((raw_epact == 25) & (golden > 11)) | (raw_epact == 24), raw_epact + 1
-    ).otherwise(raw_epact)
-    moon = F.lit(44) - epact
-    full_moon = F.when(moon < 21, moon + 30).otherwise(moon)
-    sunday = full_moon + 7 - F.pmod(sunday_letter + full_moon, F.lit(7))
-    # counted as a day of March, which may run into April
-    return F.date_add(
-        F.make_date(year.cast("int"), F.lit(3), F.lit(1)), (sunday - 1).cast("int")
+    steps = {
+        "_century": "year div 100 + 1",
+        "_golden": "year % 19 + 1",
+        "_leap": "_century * 3 div 4 - 12",
+        "_letter": "year * 5 div 4 - _leap - 10",
+        "_raw": "pmod(_golden * 11 + 20 + (_century * 8 + 5) div 25 - 5 - _leap, 30)",
+        "_epact": "_raw + int((_raw = 25 AND _golden > 11) OR _raw = 24)",
+        "_moon": "44 - _epact + if(_epact > 23, 30, 0)",
+        "_sunday": "_moon + 7 - pmod(_letter + _moon, 7)",
+        # counted as a day of March, which may run into April
+        "easter": "date_add(make_date(int(year), 3, 1), int(_sunday) - 1)",
+    }
+    # a later column of one select may use an earlier one
+    return years.selectExpr("year", *[f"{e} AS {n}" for n, e in steps.items()]).select(
+        "year", "easter"
     )
 
 
-def _on_or_after(date: Column, weekday: int) -> Column:
-    """The first weekday (1 is Sunday) on or after a date."""
-    return F.date_add(date, F.pmod(F.lit(weekday) - F.dayofweek(date), F.lit(7)))
-
-
 def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """(country, date) for every day off in the years given."""
     years = spark.range(first_year, last_year + 1).select(F.col("id").alias("year"))
-    year = F.col("year")
 
-    def on(month: int, day: int) -> Column:
-        return F.make_date(year.cast("int"), F.lit(month), F.lit(day))
+    def on(month: int, day: int) -> str:
+        return f"make_date(int(year), {month}, {day})"
+
+    def on_or_after(date: str, weekday: int) -> str:
+        return f"date_add({date}, pmod({weekday} - dayofweek({date}), 7))"
 
-    easter = easter_sunday(year)
     # midsummer's eve is a Friday, all saints' a Saturday
-    midsummer = _on_or_after(on(6, 19), 6)
-    moving = [F.date_add(easter, n) for n in EASTER_OFFSETS]
-    moving += [midsummer, F.date_add(midsummer, 1), _on_or_after(on(10, 31), 7)]
-    per_country = F.create_map(
-        *[
-            part
-            for country, days in FIXED_HOLIDAYS.items()
-            for part in (
-                F.lit(country),
-                F.array(*moving, *[on(month, day) for month, day in days]),
-            )
-        ]
+    moving = [f"date_add(easter, {n})" for n in EASTER_OFFSETS]
+    moving += ["_midsummer", "date_add(_midsummer, 1)", on_or_after(on(10, 31), 7)]
+    per_country = ", ".join(
+        f"'{country}', array({', '.join([*moving, *(on(m, d) for m, d in days)])})"
+        for country, days in FIXED_HOLIDAYS.items()
     )
     return (
-        years.select(F.explode(per_country).alias("country", "dates"))
-        .select("country", F.explode("dates").alias("date"))
-        .distinct()
+        with_easter(years)
+        .selectExpr("*", f"{on_or_after(on(6, 19), 6)} AS _midsummer")
+        .selectExpr(f"explode(map({per_country})) AS (country, dates)")
+        .selectExpr("country", "explode(array_distinct(dates)) AS date")
     )
 
 
@@ -79,14 +67,14 @@ def is_weekend(date: Column) -> Column:
     return F.dayofweek(date).isin(1, 7)
 
 
-def business_days(dates: DataFrame, calendar: list[str]) -> DataFrame:
+def business_days(dates: DataFrame, calendar: list[str], years: tuple[int, int]) -> DataFrame:
     """The rows of ``dates(date)`` that are business days in every country of the calendar."""
     if not calendar:
         return dates
-    years = dates.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
-    off = holidays(dates.sparkSession, years["a"].year, years["b"].year)
-    off = off.where(F.col("country").isin(*calendar)).select("date").distinct()
-    return dates.where(~is_weekend(F.col("date"))).join(off, "date", "left_anti")
+    off = holidays(dates.sparkSession, *years)
+    off = off.where(F.col("country").isin(*calendar)).select("date")
+    # a few dozen days a year
+    return dates.where(~is_weekend(F.col("date"))).join(F.broadcast(off), "date", "left_anti")
 
 
 def local_midnight(date: Column, zone: str) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.business_days import holidays, is_weekend
+from tidewatch.functions.business_days import holidays
 from tidewatch.functions.scalars import plus_seconds
 
 # fixed values: month and weekday names
@@ -23,103 +23,107 @@ HORIZON_DAYS = 400
 NO_BUSINESS_DAY = "no business day found within 400 occurrences"
 
 
-def _numbers(field: Column, low: int, high: int, names: list[str], base: int) -> Column:
-    """The values a cron field stands for, as an array; empty where it makes no sense."""
-    text = F.lower(field)
-    for i, name in enumerate(names):
-        text = F.regexp_replace(text, name, str(i + base))
-    text = F.regexp_replace(text, r"\?", "*")
-
-    def expand(part: Column) -> Column:
-        pieces = F.split(part, "/")
-        span, step = F.get(pieces, 0), F.get(pieces, 1)
-        ends = F.split(span, "-")
-        start = F.when(span == "*", F.lit(low)).otherwise(F.get(ends, 0).try_cast("int"))
-        stop = (
-            F.when((span == "*") | (step.isNotNull() & ~span.contains("-")), F.lit(high))
-            .when(span.contains("-"), F.get(ends, 1).try_cast("int"))
-            .otherwise(start)
-        )
-        by = F.when(step.isNull(), F.lit(1)).otherwise(step.try_cast("int"))
-        fits = (start >= low) & (stop <= high) & (start <= stop) & (by >= 1)
-        return F.when(fits, F.sequence(start, stop, by)).otherwise(
-            F.array().cast("array<int>")
-        )
-
-    parts = F.transform(F.split(text, ","), expand)
-    broken = F.exists(parts, lambda p: F.size(p) == 0)
-    return F.when(broken, F.array().cast("array<int>")).otherwise(
-        F.array_distinct(F.flatten(parts))
-    )
+def _numbers(index: int, low: int, high: int, names: list[str], base: int) -> str:
+    """SQL for the parts of one cron field, each as an array; empty where it makes no sense.
+
+    The text is one expression per field, so a plan is built in a few calls.
+    """
+
+    def number(token: str) -> str:
+        plain = f"try_cast({token} AS int)"
+        if not names:
+            return plain
+        known = ", ".join(f"'{n}', {i + base}" for i, n in enumerate(names))
+        return f"coalesce({plain}, try_element_at(map({known}), {token}))"
+
+    # a part is span/step; ends are found once and then checked
+    return f"""
+        transform(split(lower(get(_fields, {index})), ','), part -> flatten(transform(filter(
+            transform(array(struct(
+                split_part(part, '/', 1) AS span,
+                if(contains(part, '/'), try_cast(split_part(part, '/', 2) AS int), 1) AS step,
+                contains(part, '/') AS stepped)),
+            p -> struct(
+                CASE WHEN p.span IN ('*', '?') THEN {low}
+                     ELSE {number("split_part(p.span, '-', 1)")} END AS a,
+                CASE WHEN contains(p.span, '-') THEN {number("split_part(p.span, '-', 2)")}
+                     WHEN p.span IN ('*', '?') OR p.stepped THEN {high}
+                     ELSE {number("p.span")} END AS b,
+                p.step AS c)),
+            r -> r.a >= {low} AND r.b <= {high} AND r.a <= r.b AND r.c >= 1),
+            r -> sequence(r.a, r.b, r.c))))"""
 
 
 def parsed(schedules: DataFrame) -> DataFrame:
     """Adds the field values, ``valid``, and the seconds of the day it fires at."""
-    quartz = F.col("cron_style") == "quartz"
-    fields = F.split(F.trim("cron"), r"\s+")
-    fields = F.when(quartz, fields).otherwise(F.concat(F.array(F.lit("0")), fields))
-    out = schedules.withColumn("_fields", fields)
-    at = [F.get("_fields", i) for i in range(6)]
-
-    # Sunday is 0 in what follows
-    unix_days = F.transform(_numbers(at[5], 0, 7, WEEKDAYS, 0), lambda d: d % 7)
-    quartz_days = F.transform(_numbers(at[5], 1, 7, WEEKDAYS, 1), lambda d: d - 1)
-    out = out.withColumns(
-        {
-            "_second": _numbers(at[0], 0, 59, [], 0),
-            "_minute": _numbers(at[1], 0, 59, [], 0),
-            "_hour": _numbers(at[2], 0, 23, [], 0),
-            "_dom": _numbers(at[3], 1, 31, [], 0),
-            "_month": _numbers(at[4], 1, 12, MONTHS, 1),
-            "_dow": F.array_distinct(F.when(quartz, quartz_days).otherwise(unix_days)),
-            "_any_dom": at[3].isin("*", "?"),
-            "_any_dow": at[5].isin("*", "?"),
-        }
-    )
     sets = ["_second", "_minute", "_hour", "_dom", "_month", "_dow"]
-    complete = F.size("_fields").isin(6, 7)
-    for name in sets:
-        complete = complete & (F.size(name) > 0)
-    countries = F.forall("calendar", lambda c: c.isin("se", "fi"))
-    times = F.flatten(
-        F.transform(
-            "_hour",
-            lambda h: F.flatten(
-                F.transform(
-                    "_minute",
-                    lambda m: F.transform("_second", lambda s: h * 3600 + m * 60 + s),
-                )
+    fields = "split(trim(cron), '\\\\s+')"
+    out = schedules.withColumn(
+        "_fields",
+        F.expr(f"if(cron_style = 'quartz', {fields}, concat(array('0'), {fields}))"),
+    )
+    unix_days, quartz_days = _numbers(5, 0, 7, WEEKDAYS, 0), _numbers(5, 1, 7, WEEKDAYS, 1)
+    parts = {
+        "_second": _numbers(0, 0, 59, [], 0),
+        "_minute": _numbers(1, 0, 59, [], 0),
+        "_hour": _numbers(2, 0, 23, [], 0),
+        "_dom": _numbers(3, 1, 31, [], 0),
+        "_month": _numbers(4, 1, 12, MONTHS, 1),
+        "_dow": f"if(cron_style = 'quartz', {quartz_days}, {unix_days})",
+        "_any_dom": "get(_fields, 3) IN ('*', '?')",
+        "_any_dow": "get(_fields, 5) IN ('*', '?')",
+    }
+    out = out.withColumns({n: F.expr(e) for n, e in parts.items()})
+    # one part that makes no sense spoils the field
+    whole = "if(exists({0}, p -> size(p) = 0), cast(array() AS array<int>), array_distinct(flatten({0})))"
+    out = out.withColumns({n: F.expr(whole.format(n)) for n in sets})
+    filled = " AND ".join(f"coalesce(size({n}), 0) > 0" for n in sets)
+    return out.withColumns(
+        {
+            # Sunday is 0 in what follows
+            "_dow": F.expr(
+                "array_distinct(transform(_dow, d -> if(cron_style = 'quartz', d - 1, d % 7)))"
             ),
-        )
-    )
-    return out.withColumns({"valid": complete & countries, "_times": times}).drop(
-        "_fields", "_second", "_minute", "_hour"
-    )
+            "valid": F.expr(
+                f"""size(_fields) IN (6, 7) AND {filled}
+                    AND forall(calendar, c -> c IN ('se', 'fi'))"""
+            ),
+            "_times": F.expr(
+                """flatten(transform(_hour, h -> flatten(transform(_minute, m ->
+                   transform(_second, s -> h * 3600 + m * 60 + s)))))"""
+            ),
+        }
+    ).drop("_fields", "_second", "_minute", "_hour")
 
 
 def matching_days(plans: DataFrame, first: Column, last: Column, years: tuple[int, int]) -> DataFrame:
-    """(…, day, counts): the days the cron fields allow; ``counts`` on business days only."""
-    days = plans.where("valid").withColumn("day", F.explode(F.sequence(first, last)))
-    dom = F.array_contains("_dom", F.dayofmonth("day"))
-    dow = F.array_contains("_dow", F.dayofweek("day") - 1)
-    either = F.when(F.col("_any_dom"), dow).when(F.col("_any_dow"), dom).otherwise(dom | dow)
-    days = days.where(F.array_contains("_month", F.month("day")) & either)
+    """(…, day, counts): the days the cron fields allow; ``counts`` on business days only.
 
+    A schedule that is not valid keeps one row without a day.
+    """
+    days = plans.withColumn("day", F.explode_outer(F.when(F.col("valid"), F.sequence(first, last))))
+    days = days.where(
+        """day IS NULL OR (array_contains(_month, month(day)) AND
+           CASE WHEN _any_dom THEN array_contains(_dow, dayofweek(day) - 1)
+                WHEN _any_dow THEN array_contains(_dom, day(day))
+                ELSE array_contains(_dom, day(day)) OR array_contains(_dow, dayofweek(day) - 1)
+           END)"""
+    )
     # two countries and a few dozen days a year: bounded by the horizon
     off = holidays(plans.sparkSession, *years).groupBy("date").agg(
         F.collect_set("country").alias("_off")
     )
-    closed = F.arrays_overlap("calendar", F.coalesce("_off", F.array().cast("array<string>")))
-    counts = (F.size("calendar") == 0) | ~(is_weekend(F.col("day")) | closed)
+    counts = """day IS NOT NULL AND (size(calendar) = 0 OR NOT (dayofweek(day) IN (1, 7)
+        OR arrays_overlap(calendar, coalesce(_off, cast(array() AS array<string>)))))"""
     return (
         days.join(F.broadcast(off), days["day"] == off["date"], "left")
-        .withColumn("counts", counts)
+        .withColumn("counts", F.expr(counts))
         .drop("date", "_off", "_dom", "_month", "_dow", "_any_dom", "_any_dow")
     )
 
 
 def _instants(days: DataFrame) -> DataFrame:
-    fired = days.withColumn("_time", F.explode("_times"))
+    fired = days.withColumn("_time", F.explode_outer(F.when(F.col("counts"), F.col("_times"))))
     local = plus_seconds(F.col("day").cast("timestamp"), F.col("_time"))
     return fired.withColumn("at", F.to_utc_timestamp(local, F.col("timezone"))).drop(
         "_time", "_times"
@@ -163,49 +167,33 @@ def around(schedules: DataFrame, as_of: str) -> DataFrame:
         F.date_add("_today", HORIZON_DAYS),
         (year - 3, year + 2),
     )
-    some_day = (
-        days.where(F.col("day") <= F.col("_last_day"))
-        .groupBy("schedule_id")
-        .agg(F.max("counts").alias("_counted"))
-    )
-    counted = days.where("counts").select(
-        "schedule_id", "timezone", "day", "_times", "_cutoff", "_last_day", "_today"
-    )
-    back = Window.partitionBy("schedule_id").orderBy(F.desc("day"))
-    ahead = Window.partitionBy("schedule_id").orderBy("day")
-    # the last day may only fire after the cutoff, so three days hold two due occurrences
-    past = counted.where("day <= _last_day").withColumn("_n", F.row_number().over(back))
-    coming = counted.where("day >= _today").withColumn("_n", F.row_number().over(ahead))
-    due = (
-        _instants(past.where("_n <= 3"))
-        .where("at <= _cutoff")
-        .withColumn(
-            "_n",
-            F.row_number().over(Window.partitionBy("schedule_id").orderBy(F.desc("at"))),
-        )
-        .where("_n <= 2")
-        .groupBy("schedule_id")
-        .agg(
-            F.max(F.when(F.col("_n") == 1, F.col("at"))).alias("due_at"),
-            F.max(F.when(F.col("_n") == 2, F.col("at"))).alias("previous_at"),
-        )
-    )
-    following = (
-        _instants(coming.where("_n <= 2"))
-        .where(F.col("at") > now)
-        .groupBy("schedule_id")
-        .agg(F.min("at").alias("next_at"))
-    )
-    error = (
-        F.when(~F.col("valid"), F.concat(F.lit('cron "'), F.col("cron"), F.lit('"')))
-        .when(~F.coalesce("_counted", F.lit(True)), F.lit(NO_BUSINESS_DAY))
-    )
-    return (
-        plans.select("schedule_id", "cron", "valid")
-        .join(some_day, "schedule_id", "left")
-        .join(due, "schedule_id", "left")
-        .join(following, "schedule_id", "left")
-        .select("schedule_id", "due_at", "previous_at", "next_at", error.alias("error"))
+    past, coming = F.col("day") <= F.col("_last_day"), F.col("day") >= F.col("_today")
+    # a schedule's days are bounded by the horizon
+    back = Window.partitionBy("schedule_id", "counts", past).orderBy(F.desc("day"))
+    ahead = Window.partitionBy("schedule_id", "counts", coming).orderBy("day")
+    ranked = days.withColumns(
+        {"_back": F.row_number().over(back), "_ahead": F.row_number().over(ahead)}
+    )
+    # the last day may only fire after the cutoff, so three days hold two due occurrences;
+    # of days that do not count one is enough to know that there are any
+    near = ranked.where(
+        F.col("day").isNull()
+        | (past & (F.col("_back") <= F.when(F.col("counts"), 3).otherwise(1)))
+        | (coming & F.col("counts") & (F.col("_ahead") <= 2))
+    )
+    fired = _instants(near).withColumn("_due", F.col("at") <= F.col("_cutoff"))
+    latest = Window.partitionBy("schedule_id", "_due").orderBy(F.desc("at"))
+    fired = fired.withColumn("_n", F.row_number().over(latest))
+    nth = lambda n: F.max(F.when(F.col("_due") & (F.col("_n") == n), F.col("at")))
+    counted = F.max(F.when(past, F.col("counts")))
+    error = F.when(
+        ~F.min("valid"), F.concat(F.lit('cron "'), F.max("cron"), F.lit('"'))
+    ).when(~counted, F.lit(NO_BUSINESS_DAY))
+    return fired.groupBy("schedule_id").agg(
+        nth(1).alias("due_at"),
+        nth(2).alias("previous_at"),
+        F.min(F.when(F.col("at") > now, F.col("at"))).alias("next_at"),
+        error.alias("error"),
     )
 
 

@@ -62,27 +62,36 @@ def report_state(reports: DataFrame, successes: DataFrame) -> DataFrame:
 
 
 def gauges(statuses: DataFrame, as_of: Column) -> DataFrame:
-    """(gauge, flow, kind, owner, state, value): state, age of the last success, flows per state."""
+    """(gauge, flow, kind, owner, state, value): state, age of the last success, flows per state.
 
-    def column(name: str, present: bool) -> Column:
-        return F.col(name) if present else F.lit(None).cast("string").alias(name)
+    Every flow gives its rows in one pass; all states are seeded with zero, so that those no
+    flow is in are reported as well.
+    """
+    nothing = F.lit(None).cast("string")
 
-    def shaped(rows: DataFrame, gauge: str, value: Column, labels: set[str]) -> DataFrame:
-        return rows.select(
+    def row(gauge: str, value: Column, labels: set[str] = frozenset()) -> Column:
+        names = ("flow", "kind", "owner", "state")
+        return F.struct(
             F.lit(gauge).alias("gauge"),
-            *[column(n, n in labels) for n in ("flow", "kind", "owner", "state")],
+            *[(F.col(n) if n in labels else nothing).alias(n) for n in names],
             value.cast("double").alias("value"),
         )
 
-    per_flow = shaped(statuses, "flow_state", F.lit(1), {"flow", "kind", "owner", "state"})
     age = F.greatest(seconds_since(F.col("last_ok"), as_of), F.lit(0).cast("long"))
-    ages = shaped(
-        statuses.where(F.col("last_ok").isNotNull()), "last_ok_age_seconds", age, {"flow"}
-    )
-    # every state once, also those no flow is in
-    seeds = statuses.sparkSession.createDataFrame([(s, 0) for s in STATES], "state string, n long")
-    counted = seeds.unionByName(statuses.select("state", F.lit(1).cast("long").alias("n")))
-    totals = counted.groupBy("state").agg(F.sum("n").alias("n"))
-    return per_flow.unionByName(ages).unionByName(
-        shaped(totals, "flows", F.col("n"), {"state"})
+    rows = statuses.select(
+        F.explode(
+            F.array(
+                row("flow_state", F.lit(1), {"flow", "kind", "owner", "state"}),
+                row("last_ok_age_seconds", age, {"flow"}),
+                row("flows", F.lit(1), {"state"}),
+            )
+        ).alias("_g")
+    ).select("_g.*")
+    seeds = statuses.sparkSession.createDataFrame([(s,) for s in STATES], "state string")
+    zeros = seeds.select(row("flows", F.lit(0), {"state"}).alias("_g")).select("_g.*")
+    return (
+        rows.where(F.col("value").isNotNull())
+        .unionByName(zeros)
+        .groupBy("gauge", "flow", "kind", "owner", "state")
+        .agg(F.sum("value").alias("value"))
     )
