@@ -320,7 +320,7 @@ def announced_settings(m):
         "id", "kind",
         "concat(every_seconds, if(every_seconds % 40 = 0, ' apples', 's')) AS every",
         "if(every_seconds % 70 = 0, '1h 30m', null) AS grace",
-        "if(every_seconds % 50 = 0, ' flow-1,, flow-2 ', if(every_seconds % 110 = 0, 'nobody', null)) AS after",
+        "if(every_seconds % 50 = 0, ' flow-1,, flow-40 ', if(every_seconds % 110 = 0, 'nobody', null)) AS after",
         "owner",
         "if(every_seconds % 90 = 0, '61 * * * *', cron) AS cron",
         "if(every_seconds % 20 = 0, 'SE, fi', null) AS calendar",
@@ -494,7 +494,9 @@ def daily_uptime(m):
 @query
 def daily_uptime_arrays(m):
     rows = monthly.monthly_days(m.changes, *MONTH, "2024-01-20 12:00:00", ZONE)
-    label = F.transform("days", lambda u: F.coalesce(F.format_string("%.6f", F.round(u, 6)), F.lit("-")))
+    label = F.transform(
+        "days", lambda u: F.when(u.isNull(), "-").otherwise(F.format_string("%.6f", F.round(u, 6)))
+    )
     return rows.select("flow", F.array_join(label, ",").alias("days"))
 
 

@@ -168,7 +168,7 @@ def duration_seconds(text: Column) -> Column:
 
 def trimmed_list(text: Column) -> Column:
     """A comma list as an array, trimmed, without empty entries."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def local_label(at: Column, zone: Column | str) -> Column:

@@ -89,6 +89,29 @@ def cyclic(flows: DataFrame) -> DataFrame:
         left = still
 
 
+def circling(wanted: DataFrame, flows: DataFrame) -> DataFrame:
+    """(flow): those whose wanted ``after`` leads back to themselves in the catalogue.
+
+    Each is judged alone, with the catalogue as it is. Per round every one of them moves one
+    step up; a step already taken is not taken again.
+    """
+    edges = cut(links(flows).select("flow", "upstream").distinct())
+    ahead = cut(wanted.select("flow", F.explode("after").alias("on")).distinct())
+    seen = ahead
+    while True:
+        stepped = (
+            ahead.where("on <> flow")
+            .join(edges.select(F.col("flow").alias("on"), "upstream"), "on")
+            .select("flow", F.col("upstream").alias("on"))
+            .distinct()
+            .join(seen, ["flow", "on"], "left_anti")
+        )
+        ahead = cut(stepped)
+        if ahead.isEmpty():
+            return seen.where("on = flow").select("flow").distinct()
+        seen = cut(seen.unionByName(ahead))
+
+
 def cycle_report(flows: DataFrame) -> DataFrame:
     """One row with the smallest flow on or behind a cycle, null when there is none."""
     return cyclic(flows).agg(F.min("flow").alias("flow"))
