@@ -1,0 +1 @@
+"""The operators over streams."""
