@@ -374,10 +374,10 @@ oracle("dependency_layout", """edge AS (SELECT flow, upstream FROM fl WHERE upst
     JOIN (SELECT flow, CAST(max(step) AS BIGINT) AS step FROM dep GROUP BY 1) USING (flow)""")
 BENT = """edge AS (SELECT flow, CASE WHEN n = 1 THEN 'flow-3' WHEN n = 20 THEN 'gone' ELSE upstream END AS upstream FROM fl WHERE n BETWEEN 1 AND 99),
     reach AS (SELECT flow AS a, upstream AS b FROM edge UNION SELECT a, upstream FROM reach JOIN edge ON flow = b)"""
-oracle("catalogue_violations", f"""{BENT} /* recursive */ SELECT 'flow-40' AS subject, 'duplicate flow id' AS problem
+oracle("catalogue_violations", f"""{BENT} /* recursive */ SELECT flow AS subject, 'duplicate flow id' AS problem FROM fl WHERE n = 40
     UNION SELECT flow, 'anomaly_tolerance must be above 0 and below 1' FROM fl WHERE n % 10 = 9
     UNION SELECT flow, 'owner owner-4 is not known' FROM fl WHERE owner = 'owner-4'
-    UNION SELECT 'flow-20', 'after refers to unknown flow gone'
-    UNION SELECT 'flow-30', 'cron or calendar not understood'
+    UNION SELECT flow, 'after refers to unknown flow gone' FROM fl WHERE n = 20
+    UNION SELECT flow, 'cron or calendar not understood' FROM fl WHERE n = 30
     UNION SELECT 'window-4', 'lasts must be longer than zero'
     UNION SELECT a, 'after goes round in a circle' FROM reach WHERE b IN (SELECT a FROM reach WHERE a = b)""")

@@ -27,7 +27,7 @@ def _located(rows: DataFrame, root: str) -> DataFrame:
     folder = F.regexp_extract(path, rf"^(.*)/{LOG}/[^/]*$", 1)
     # the stored path has a scheme in front of the same folder
     start = F.instr(folder, base) + len(base)
-    table = F.trim(F.lit("/"), F.substring(folder, start, F.length(folder)))
+    table = F.trim(F.substring(folder, start, F.length(folder)), F.lit("/"))
     version = F.regexp_extract(path, rf"/{LOG}/([0-9]+)[^/]*$", 1).cast("long")
     return rows.withColumns(
         {
