@@ -20,9 +20,12 @@ class Model:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = configured(spark)
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @property
     def _events(self) -> DataFrame:

@@ -1,11 +1,11 @@
 """Ordered neighbours (lag, lead, carry-forward, recent history) that survive a hot key.
 
-A plain window over one key puts all of that key's rows into one task. Here every key is
-cut into time slots: a window runs inside (key, slot), and the little that crosses a slot
-border travels through a table with one row per slot. Keys below ``rows_per_slot`` rows keep
-a single slot, so ordinary keys pay nothing for the splitting. The slots only decide where
-the work is done: any slot assignment gives the same result. Keys and the ordering timestamp are never null in the model tables; rows where
-they are null are dropped.
+A plain window over one key puts all of that key's rows into one task. That is fine while
+every key is small, so the sizes are measured first. Where a key is too large, it is cut into
+time slots: a window runs inside (key, slot), and the little that crosses a slot border
+travels through a table with one row per slot. The slots only decide where the work is done:
+any slot assignment, or none, gives the same result. Keys and the ordering timestamp are
+never null in the model tables; where keys are split, rows with null keys are dropped.
 """
 
 from __future__ import annotations
@@ -22,44 +22,35 @@ MAX_SPLIT_KEYS = 20_000
 
 
 def slotted(
-    rows: DataFrame,
-    keys: Sequence[str],
-    at: str,
-    rows_per_slot: int = ROWS_PER_SLOT,
-    seconds: int | None = None,
+    rows: DataFrame, keys: Sequence[str], at: str, rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
-    """Adds ``_slot``: a fixed width in ``seconds``, or one measured per key.
+    """Adds ``_slot`` where some key has more than ``rows_per_slot`` rows, else nothing.
 
-    The measured width makes the busiest hour of a hot key fill about ``rows_per_slot`` rows
-    per slot. Only keys above that size get a width, at most ``MAX_SPLIT_KEYS`` of them, so
-    the table that is broadcast is bounded whatever the input.
+    One count per key, combined before its shuffle, decides. The width of a slot is chosen per
+    hot key, so that its busiest hour fills about ``rows_per_slot`` rows per slot. The table of
+    widths that is broadcast has at most ``MAX_SPLIT_KEYS`` rows whatever the input; the driver
+    only learns whether there are any.
     """
-    epoch = F.unix_seconds(F.col(at))
-    if seconds is not None:
-        return rows.withColumn(SLOT, F.floor(epoch / F.lit(seconds)))
-
-    hourly = rows.groupBy(*keys, F.floor(epoch / F.lit(3600)).alias("_hour")).agg(
-        F.count(F.lit(1)).alias("_n")
+    keys = list(keys)
+    large = (
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slot)
     )
-    per_key = hourly.groupBy(*keys).agg(
-        F.sum("_n").alias("_rows"), F.max("_n").alias("_peak")
-    )
-    width = F.greatest(
-        F.lit(1), F.floor(F.lit(3600.0 * rows_per_slot) / F.col("_peak"))
-    )
-    hot = (
-        per_key.where(F.col("_rows") > rows_per_slot)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_SPLIT_KEYS)
-        .select(*keys, width.cast("long").alias("_width"))
-    )
-    return (
-        rows.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(
-            SLOT, F.coalesce(F.floor(epoch / F.col("_width")), F.lit(0).cast("long"))
-        )
-        .drop("_width")
+    if large.isEmpty():
+        return rows
+    hottest = large.orderBy(F.desc("_n"), *keys).limit(MAX_SPLIT_KEYS).select(*keys)
+    epoch = F.unix_seconds(F.col(at))
+    hour = F.floor(epoch / F.lit(3600)).alias("_hour")
+    hourly = (
+        rows.select(*keys, at)
+        .join(F.broadcast(hottest), keys)
+        .groupBy(*keys, hour)
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    per_peak = F.floor(F.lit(3600.0 * rows_per_slot) / F.max("_n"))
+    width = F.greatest(F.lit(1), per_peak).cast("long").alias("_width")
+    widths = hourly.groupBy(*keys).agg(width)
+    slot = F.coalesce(F.floor(epoch / F.col("_width")), F.lit(0).cast("long"))
+    return rows.join(F.broadcast(widths), keys, "left").withColumn(SLOT, slot).drop("_width")
 
 
 def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,6 +60,23 @@ def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return known.repartition(*keys, SLOT)
 
 
+def _whole_keys(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    previous: Mapping[str, Column],
+    following: Mapping[str, Column],
+    carried: Mapping[str, Column],
+) -> DataFrame:
+    """One window over whole keys: a single exchange and sort."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.lag(v).over(window) for n, v in previous.items()}
+    found |= {n: F.lead(v).over(window) for n, v in following.items()}
+    found |= {n: F.last(v, ignorenulls=True).over(earlier) for n, v in carried.items()}
+    return rows.withColumns(found)
+
+
 def neighbours(
     rows: DataFrame,
     keys: Sequence[str],
@@ -80,10 +88,13 @@ def neighbours(
     """Adds columns taken from other rows of the same key, in ``order``.
 
     ``previous``/``following``: the value on the row just before/after, null when there is
-    none. ``carried``: the last non-null value on any earlier row. Needs ``_slot``.
+    none. ``carried``: the last non-null value on any earlier row. Rows as :func:`slotted`
+    gives them.
     """
     previous, following, carried = previous or {}, following or {}, carried or {}
     keys, by_slot = list(keys), [*keys, SLOT]
+    if SLOT not in rows.columns:
+        return _whole_keys(rows, keys, order, previous, following, carried)
     base = _spread(rows, keys)
     ordering = F.struct(*order)
     # border rows carry every column, so both branches read the same exchange
@@ -148,8 +159,11 @@ def recent(
     n: int,
     name: str,
 ) -> DataFrame:
-    """Adds the values of the up to ``n`` rows before each row, oldest first. Needs ``_slot``."""
+    """Adds the values of the up to ``n`` rows before each row, oldest first."""
     keys, by_slot = list(keys), [*keys, SLOT]
+    if SLOT not in rows.columns:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+        return rows.withColumn(name, F.collect_list(value).over(window))
     base = _spread(rows, keys)
     inside = Window.partitionBy(*by_slot).orderBy(*order)
     near = base.withColumn(

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.ordered import SLOT, neighbours, slotted
-from tidewatch.functions.scalars import glob_match, human_duration, seconds_since
+from tidewatch.functions.ordered import ROWS_PER_SLOT, SLOT, neighbours, slotted
+from tidewatch.functions.scalars import glob_match, human_duration
 
-# one row per file and successful poll; a month of five-minute polls is under 9000 rows
-SLOT_SECONDS = 30 * 86_400
 
-
-def observations(listings: DataFrame, polls: DataFrame, rules: DataFrame) -> DataFrame:
+def observations(
+    listings: DataFrame,
+    polls: DataFrame,
+    rules: DataFrame,
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> DataFrame:
     """What each poll makes of each matching file.
 
     ``listings(flow, poll_at, key, name, size, modified)``; ``polls(flow, poll_at)`` are the
@@ -32,7 +34,7 @@ def observations(listings: DataFrame, polls: DataFrame, rules: DataFrame) -> Dat
     )
     keys, order = ["flow", "key"], ["poll_at"]
     version = F.struct("size", "modified")
-    rows = slotted(seen, keys, "poll_at", seconds=SLOT_SECONDS)
+    rows = slotted(seen, keys, "poll_at", rows_per_slot)
     rows = neighbours(
         rows,
         keys,
@@ -113,9 +115,9 @@ def poll_problems(seen: DataFrame) -> DataFrame:
     return found.select("flow", "poll_at", problem.alias("problem"))
 
 
-def previous_sightings(listings: DataFrame) -> DataFrame:
+def previous_sightings(listings: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Each sighting of a file with the size and time of the one before it."""
-    rows = slotted(listings, ["flow", "key"], "poll_at", seconds=SLOT_SECONDS)
+    rows = slotted(listings, ["flow", "key"], "poll_at", rows_per_slot)
     return neighbours(
         rows,
         ["flow", "key"],
@@ -129,6 +131,3 @@ def latest_listing(listings: DataFrame, polls: DataFrame) -> DataFrame:
     last = polls.groupBy("flow").agg(F.max("poll_at").alias("poll_at"))
     return listings.join(last, ["flow", "poll_at"], "left_semi")
 
-
-def age_label(first_seen, as_of):
-    return human_duration(seconds_since(first_seen, as_of))

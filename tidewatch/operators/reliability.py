@@ -71,7 +71,9 @@ def outages(rows: DataFrame) -> DataFrame:
     state = F.col("state")
     turns = rows.where(
         is_measured(state) & (is_up(state) != F.coalesce("was_up", F.lit(True)))
-    ).select("flow", "at", "id", is_up(state).alias("up"), SLOT)
+    )
+    slot = [SLOT] if SLOT in turns.columns else []
+    turns = turns.select("flow", "at", "id", is_up(state).alias("up"), *slot)
     paired = neighbours(turns, ["flow"], ORDER, following={"ended": F.col("at")})
     return paired.where(~F.col("up")).select("flow", F.col("at").alias("started"), "ended")
 

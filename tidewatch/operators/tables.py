@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.ordered import SLOT, neighbours, slotted
+from tidewatch.functions.ordered import ROWS_PER_SLOT, SLOT, neighbours, slotted
 
 # fixed values: how far apart one load's tables may be, names shown, how long a change shows
 LOAD_SPREAD_SECONDS = 6 * 3600
 SHOWN = 5
 CHANGE_SHOWN_SECONDS = 24 * 3600
-SLOT_SECONDS = 30 * 86_400
 
 
 def shown(name: Column) -> Column:
@@ -128,14 +127,14 @@ def schema_change(before: Column, after: Column) -> Column:
     return F.nullif(F.array_join(F.concat(added, dropped, retyped), ", "), F.lit(""))
 
 
-def schema_changes(observed: DataFrame) -> DataFrame:
+def schema_changes(observed: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """(flow, table_name, changed_at, change) over ``observed(flow, table_name, poll_at, fields)``.
 
     The first sighting is no change, nor is a new order of the same fields.
     """
     keys = ["flow", "table_name"]
     rows = neighbours(
-        slotted(observed, keys, "poll_at", seconds=SLOT_SECONDS),
+        slotted(observed, keys, "poll_at", rows_per_slot),
         keys,
         ["poll_at"],
         previous={"_before": F.col("fields")},

@@ -7,6 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def builder(name: str = "tidewatch") -> SparkSession.Builder:
+    """A session builder with settings that only take effect at the start."""
+    return (
+        SparkSession.builder.appName(name)
+        .config("spark.sql.session.timeZone", "UTC")
+        # plans here are large; recording where each column was written slows building them
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
+
+
 def configured(spark: SparkSession) -> SparkSession:
     """Pins what results depend on; sizing is left to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
