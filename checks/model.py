@@ -127,7 +127,7 @@ class Model:
         return self.table("lineitem").selectExpr(
             "l_suppkey % 20 AS job_id",
             "date_add(cast(l_shipdate AS date), 8400) AS usage_date",
-            "cast(l_shipdate AS timestamp) + interval 8400 days AS usage_end_time",
+            "timestamp_seconds(unix_seconds(cast(l_shipdate AS timestamp)) + 8400 * 86400) AS usage_end_time",
             "l_partkey AS sku",
             "l_linestatus AS cloud",
             "'DBU' AS unit",

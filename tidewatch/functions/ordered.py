@@ -50,7 +50,7 @@ def slotted(
     width = F.greatest(F.lit(1), per_peak).cast("long").alias("_width")
     widths = hourly.groupBy(*keys).agg(width)
     slot = F.coalesce(F.floor(epoch / F.col("_width")), F.lit(0).cast("long"))
-    return rows.join(F.broadcast(widths), keys, "left").withColumn(SLOT, slot).drop("_width")
+    return rows.join(F.broadcast(widths), keys, "left").select(*rows.columns, slot.alias(SLOT))
 
 
 def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -178,7 +178,7 @@ def recent(
         .groupBy(*by_slot)
         .agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct(*order, value.alias("_v")))),
+                F.sort_array(F.collect_list(F.struct(*order, value.alias("_v")))),
                 lambda r: r["_v"],
             ).alias("_tail"),
             F.max(F.struct(*rows.columns)).alias("_whole"),

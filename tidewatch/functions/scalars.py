@@ -113,7 +113,7 @@ def error_rate(server_errors: Column, total: Column) -> Column:
 
 def upper_median(values: Column) -> Column:
     """The middle value of a short array, the upper one of two; null for an empty array."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     return F.try_element_at(
         ordered, (F.floor(F.size(ordered) / F.lit(2)) + F.lit(1)).cast("int")
     )
@@ -129,7 +129,7 @@ def rank_in(value: Column, order: list[str]) -> Column:
 
 def first_names(names: Column, shown: int = 5) -> Column:
     """The first names in order, and how many more there are."""
-    ordered = F.array_sort(names)
+    ordered = F.sort_array(names)
     head = F.array_join(F.slice(ordered, 1, shown), ", ")
     more = F.size(ordered) - F.lit(shown)
     return F.when(

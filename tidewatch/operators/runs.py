@@ -116,7 +116,7 @@ def _joined_findings(rows: DataFrame, keys: list[str]) -> DataFrame:
     # at most 20 metrics a run, so the list is short
     text = F.array_join(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("name", "finding"))),
+            F.sort_array(F.collect_list(F.struct("name", "finding"))),
             lambda f: f["finding"],
         ),
         "; ",

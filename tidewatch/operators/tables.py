@@ -75,7 +75,7 @@ def left_out(tables: DataFrame) -> DataFrame:
         )
         .where(F.col("_n") <= SHOWN)
         .groupBy("flow")
-        .agg(F.array_sort(F.collect_list(F.struct("table_name"))).alias("_names"))
+        .agg(F.sort_array(F.collect_list(F.struct("table_name"))).alias("_names"))
     )
     counts = named.groupBy("flow").agg(F.count(F.lit(1)).alias("_count"))
     head = F.array_join(F.transform("_names", lambda t: shown(t["table_name"])), ", ")
@@ -110,7 +110,7 @@ def schema_change(before: Column, after: Column) -> Column:
     old_names, new_names = F.map_keys(old), F.map_keys(new)
 
     def listed(names: Column, text) -> Column:
-        return F.transform(F.array_sort(names), text)
+        return F.transform(F.sort_array(names), text)
 
     added = listed(F.array_except(new_names, old_names), lambda n: F.concat(F.lit("+"), n))
     dropped = listed(F.array_except(old_names, new_names), lambda n: F.concat(F.lit("-"), n))
