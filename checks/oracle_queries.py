@@ -249,9 +249,11 @@ oracle("trusted_keys", """SELECT flow, trusted, CASE WHEN last <> trusted THEN l
         SELECT 'flow-' || (user_id % 50) AS flow, max(ts) AS at FROM events WHERE event_type = 'signup' AND event_id % 5 = 0 GROUP BY 1) c
         ON fp.flow = c.flow GROUP BY 1))""")
 
-oracle("triage_order", """SELECT flow, state, row_number() OVER (ORDER BY CASE state WHEN 'failed' THEN 0 WHEN 'late' THEN 1 WHEN 'warning' THEN 2
-    WHEN 'blocked' THEN 3 WHEN 'maintenance' THEN 4 WHEN 'pending' THEN 5 ELSE 6 END, flow) AS place FROM es""")
-oracle("report_order", "SELECT flow, row_number() OVER (ORDER BY coalesce(uptime, 2) DESC, flow) AS place FROM re")
+oracle("triage_order", """SELECT flow, state, CASE state WHEN 'failed' THEN 0 WHEN 'late' THEN 1 WHEN 'warning' THEN 2
+    WHEN 'blocked' THEN 3 WHEN 'maintenance' THEN 4 WHEN 'pending' THEN 5 ELSE 6 END AS severity FROM es ORDER BY severity, flow""")
+oracle("report_order", """SELECT flow, round(coalesce(uptime, 2), 4) AS by_uptime, CASE met WHEN FALSE THEN 0 WHEN TRUE THEN 1 ELSE 2 END::DOUBLE AS by_target,
+    incidents::DOUBLE AS by_incidents, longest_outage_seconds::DOUBLE AS by_outage, coalesce(mean_recovery_seconds, -1)::DOUBLE AS by_recovery,
+    runs_failed::DOUBLE AS by_runs, round(coalesce(cost, -1), 4) AS by_cost FROM re ORDER BY coalesce(uptime, 2) DESC, flow""")
 oracle("newest_audit", 'SELECT id, at, flow AS "by", detail AS action FROM ev ORDER BY at DESC, id DESC LIMIT 200')
 oracle("first_names", """SELECT p_type, array_to_string(b[1:5], ', ') || CASE WHEN len(b) > 5 THEN ' and ' || (len(b) - 5) || ' more' ELSE '' END AS names
     FROM (SELECT p_type, list(DISTINCT p_brand ORDER BY p_brand) AS b FROM part GROUP BY 1)""")

@@ -675,25 +675,19 @@ def trusted_keys(m):
 # orders and limits
 
 
-def _placed(rows: DataFrame, *key: Column) -> DataFrame:
-    """The place of every row in an order, so that a comparison by value sees the order."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*key)).cast("long"))
-
-
 @query
 def triage_order(m):
-    rows = lists.by_urgency(_judged(m)).select("flow", "state")
+    """Rows come in order; the rank is shown so that a comparison by value sees it."""
     rank = scalars.rank_in(F.col("state"), scalars.SEVERITY)
-    return _placed(rows, rank, F.col("flow"))
+    return lists.by_urgency(_judged(m)).select("flow", "state", rank.alias("severity"))
 
 
 @query
 def report_order(m):
     rows = lists.ordered_report(_report(m), "uptime", descending=True)
-    placed = _placed(rows, lists.report_key("uptime").desc(), F.col("flow"))
-    return placed.select("flow", "place")
+    keys = ["uptime", "target", "incidents", "outage", "recovery", "runs", "cost"]
+    shown = [F.round(lists.report_key(k).cast("double"), 4).alias(f"by_{k}") for k in keys]
+    return rows.select("flow", *shown)
 
 
 @query
@@ -705,8 +699,11 @@ def newest_audit(m):
 @query
 def first_names(m):
     """Five part brands of each type and how many more there are."""
-    brands = m.table("part").groupBy("p_type").agg(F.collect_set("p_brand").alias("b"))
-    return brands.select("p_type", scalars.first_names(F.col("b")).alias("names"))
+    brands = m.table("part").select("p_type", "p_brand").distinct()
+    listed = lists.first_with_remainder(brands, "p_type", "p_brand")
+    return listed.select(
+        "p_type", lists.with_remainder(F.col("first"), F.col("more")).alias("names")
+    )
 
 
 # set operations

@@ -127,16 +127,6 @@ def rank_in(value: Column, order: list[str]) -> Column:
     return rank
 
 
-def first_names(names: Column, shown: int = 5) -> Column:
-    """The first names in order, and how many more there are."""
-    ordered = F.sort_array(names)
-    head = F.array_join(F.slice(ordered, 1, shown), ", ")
-    more = F.size(ordered) - F.lit(shown)
-    return F.when(
-        more > 0, F.concat(head, F.lit(" and "), more.cast("string"), F.lit(" more"))
-    ).otherwise(head)
-
-
 def duration_seconds(text: Column) -> Column:
     """Whole seconds of ``90s``, ``15m``, ``1h 30m`` or ``2days``; null when it is none."""
     # fixed values: unit names and their seconds

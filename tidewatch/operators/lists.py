@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import ATTENTION, SEVERITY, rank_in
@@ -69,3 +69,30 @@ def ordered_report(report: DataFrame, key: str, descending: bool = False) -> Dat
 def newest(rows: DataFrame, n: int) -> DataFrame:
     """The last ``n`` rows by time and id; only ``n`` rows per task reach the driver's merge."""
     return rows.orderBy(F.desc("at"), F.desc("id")).limit(n)
+
+
+def first_with_remainder(names: DataFrame, key: str, name: str, shown: int = 5) -> DataFrame:
+    """(key, first, more): the first few names of each key in order, and how many are left.
+
+    Counting is an aggregate and the limit applies before the shuffle, so however many names a
+    key has, only ``shown`` of them come together.
+    """
+    order = Window.partitionBy(key).orderBy(name)
+    first = (
+        names.withColumn("_n", F.row_number().over(order))
+        .where(F.col("_n") <= shown)
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(name)).alias("first"))
+    )
+    counts = names.groupBy(key).agg(F.count(F.lit(1)).alias("_count"))
+    return counts.join(first, key).select(
+        key, "first", (F.col("_count") - F.size("first")).alias("more")
+    )
+
+
+def with_remainder(first: Column, more: Column) -> Column:
+    """``a, b and 3 more``."""
+    head = F.array_join(first, ", ")
+    return F.when(
+        more > 0, F.concat(head, F.lit(" and "), more.cast("string"), F.lit(" more"))
+    ).otherwise(head)

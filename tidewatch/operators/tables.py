@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import ROWS_PER_SLOT, SLOT, neighbours, slotted
+from tidewatch.operators.lists import first_with_remainder, with_remainder
 
 # fixed values: how far apart one load's tables may be, names shown, how long a change shows
 LOAD_SPREAD_SECONDS = 6 * 3600
@@ -68,22 +69,9 @@ def left_out(tables: DataFrame) -> DataFrame:
         F.unix_micros("_newest") - F.unix_micros("committed_at")
         > LOAD_SPREAD_SECONDS * 1_000_000
     )
-    named = old.select("flow", "table_name")
-    first = (
-        named.withColumn(
-            "_n", F.row_number().over(Window.partitionBy("flow").orderBy("table_name"))
-        )
-        .where(F.col("_n") <= SHOWN)
-        .groupBy("flow")
-        .agg(F.sort_array(F.collect_list(F.struct("table_name"))).alias("_names"))
-    )
-    counts = named.groupBy("flow").agg(F.count(F.lit(1)).alias("_count"))
-    head = F.array_join(F.transform("_names", lambda t: shown(t["table_name"])), ", ")
-    more = F.col("_count") - SHOWN
-    text = F.when(
-        more > 0, F.concat(head, F.lit(" and "), more.cast("string"), F.lit(" more"))
-    ).otherwise(head)
-    return counts.join(first, "flow").select(
+    listed = first_with_remainder(old.select("flow", "table_name"), "flow", "table_name", SHOWN)
+    text = with_remainder(F.transform("first", shown), F.col("more"))
+    return listed.select(
         "flow", F.concat(F.lit("not in the latest load: "), text).alias("warning")
     )
 
