@@ -42,15 +42,20 @@ def job_costs(
         usage = usage.where(F.col("usage_date") >= since)
     if workspace is not None:
         usage = usage.where(F.col("workspace_id") == workspace)
-    return (
+    # summed per currency first: the largest of strings would make Spark sort every record
+    sums = (
         priced_usage(usage, prices)
-        .groupBy("job_id", F.col("usage_date").alias("day"))
+        .groupBy("job_id", F.col("usage_date").alias("day"), "currency")
         .agg(
             F.sum("quantity").alias("dbus"),
             F.sum(F.col("quantity") * F.col("price")).alias("cost"),
-            F.max("currency").alias("currency"),
         )
     )
+    return sums.groupBy("job_id", "day").agg(
+        F.sum("dbus").alias("dbus"),
+        F.sum("cost").alias("cost"),
+        F.max("currency").alias("currency"),
+    )
 
 
 def cost_summary(costs: DataFrame, as_of: str) -> DataFrame:
