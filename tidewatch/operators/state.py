@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import (
     STATES,
+    duration_sql,
     error_rate,
-    human_duration,
     local_label,
-    micros_between,
     plus_seconds,
     seconds_since,
 )
@@ -77,87 +76,60 @@ def judged(rows: DataFrame, as_of: str, zone: str) -> DataFrame:
     client_errors, server_errors, due_at, previous_at, next_at, error.
     """
     now = F.lit(as_of).cast("timestamp")
-    age = micros_between(F.col("last_ok"), now)
-    total = F.col("ok") + F.col("client_errors") + F.col("server_errors")
-    rate = error_rate(F.col("server_errors"), total)
-
-    stuck = (F.col("kind") == "heartbeat") & (
-        micros_between(F.col("running_since"), now) > F.col("max_runtime_s") * 1_000_000
-    )
-    failing = (
-        (F.col("kind") == "inbound")
-        & (total >= MIN_CALLS)
-        & (rate > F.col("max_error_rate"))
-    )
-    scheduled = F.col("cron").isNotNull()
-    missed = F.col("last_ok") <= plus_seconds(F.col("previous_at"), F.col("grace_seconds"))
-    overdue = age > (F.col("every_seconds") + F.col("grace_seconds")) * 1_000_000
-    place = F.coalesce("timezone", F.lit(zone))
-
-    def deadline(at: str) -> Column:
-        return local_label(plus_seconds(F.col(at), F.col("grace_seconds")), place)
-
-    late_text = (
-        F.when(scheduled & F.col("error").isNotNull(), F.concat(F.lit("schedule: "), "error"))
-        .when(scheduled & missed, F.concat(F.lit("was due by "), deadline("due_at")))
-        .when(
-            ~scheduled & overdue,
-            F.concat(
-                F.lit("nothing for "),
-                human_duration(seconds_since(F.col("last_ok"), now)),
-                F.lit(", expected every "),
-                human_duration(F.col("every_seconds")),
-            ),
-        )
-    )
-    warning = F.nullif(
-        F.concat_ws("; ", "check_warning", "anomaly", "cost_warning"), F.lit("")
+    missed = "last_ok <= timestamp_micros(unix_micros(previous_at) + grace_seconds * 1000000)"
+    rows = rows.withColumns(
+        {
+            "_age": seconds_since(F.col("last_ok"), now),
+            "_ran": seconds_since(F.col("running_since"), now),
+            "_total": F.expr("ok + client_errors + server_errors"),
+            "_missed": F.expr(f"cron IS NOT NULL AND coalesce({missed}, false)"),
+        }
     )
-    # nothing is due before the first deadline has passed
-    upcoming = F.when(
-        scheduled & F.col("due_at").isNotNull() & F.col("next_at").isNotNull(),
-        F.concat(F.lit(", next due "), deadline("next_at")),
-    )
-    fine = F.concat(
-        F.lit("last ok "),
-        human_duration(seconds_since(F.col("last_ok"), now)),
-        F.lit(" ago"),
-        F.coalesce(upcoming, F.lit("")),
+    # the deadline that was missed, or the next one
+    deadline = plus_seconds(F.expr("if(_missed, due_at, next_at)"), F.col("grace_seconds"))
+    rows = rows.withColumns(
+        {
+            "_deadline": local_label(deadline, F.coalesce("timezone", F.lit(zone))),
+            "_rate": error_rate(F.col("server_errors"), F.col("_total")),
+            "_now": F.unix_micros(now),
+        }
     )
 
-    def verdict(state: str, detail: Column) -> Column:
-        return F.struct(F.lit(state).alias("state"), detail.alias("detail"))
-
-    result = (
-        F.when(F.col("problem").isNotNull(), verdict("failed", F.col("problem")))
-        .when(
-            stuck,
-            verdict(
-                "failed",
-                F.concat(
-                    F.lit("still running after "),
-                    human_duration(seconds_since(F.col("running_since"), now)),
-                ),
-            ),
-        )
-        .when(
-            failing,
-            verdict(
-                "failed",
-                F.concat(
-                    F.bround(rate * 100, 0).cast("long").cast("string"),
-                    F.lit("% server errors in the last hour"),
-                ),
-            ),
-        )
-        .when(F.col("last_ok").isNull(), verdict("pending", F.lit("no data yet")))
-        .when(late_text.isNotNull(), verdict("late", late_text))
-        .when(warning.isNotNull(), verdict("warning", warning))
-        .otherwise(verdict("ok", fine))
+    def verdict(state: str, detail: str) -> str:
+        return f"named_struct('state', '{state}', 'detail', {detail})"
+
+    stuck = """kind = 'heartbeat'
+        AND _now - unix_micros(running_since) > max_runtime_s * 1000000"""
+    failing = f"kind = 'inbound' AND _total >= {MIN_CALLS} AND _rate > max_error_rate"
+    overdue = """cron IS NULL
+        AND _now - unix_micros(last_ok) > (every_seconds + grace_seconds) * 1000000"""
+    warning = "nullif(concat_ws('; ', check_warning, anomaly, cost_warning), '')"
+    # nothing is due before the first deadline has passed
+    upcoming = """if(cron IS NOT NULL AND due_at IS NOT NULL AND next_at IS NOT NULL,
+        concat(', next due ', _deadline), '')"""
+    share = "cast(cast(bround(_rate * 100, 0) AS bigint) AS string)"
+    rules = [
+        ("problem IS NOT NULL", "failed", "problem"),
+        (stuck, "failed", f"concat('still running after ', {duration_sql('_ran')})"),
+        (failing, "failed", f"concat({share}, '% server errors in the last hour')"),
+        ("last_ok IS NULL", "pending", "'no data yet'"),
+        ("cron IS NOT NULL AND error IS NOT NULL", "late", "concat('schedule: ', error)"),
+        ("_missed", "late", "concat('was due by ', _deadline)"),
+        (
+            overdue,
+            "late",
+            f"concat('nothing for ', {duration_sql('_age')}, ', expected every ', "
+            f"{duration_sql('every_seconds')})",
+        ),
+        (f"{warning} IS NOT NULL", "warning", warning),
+    ]
+    cases = " ".join(f"WHEN {test} THEN {verdict(s, d)}" for test, s, d in rules)
+    fine = verdict("ok", f"concat('last ok ', {duration_sql('_age')}, ' ago', {upcoming})")
+    return (
+        rows.withColumn("_v", F.expr(f"CASE {cases} ELSE {fine} END"))
+        .withColumns({"state": F.col("_v.state"), "detail": F.col("_v.detail")})
+        .drop("_v", "_age", "_ran", "_total", "_missed", "_deadline", "_rate", "_now")
     )
-    return rows.withColumn("_v", result).withColumns(
-        {"state": F.col("_v.state"), "detail": F.col("_v.detail")}
-    ).drop("_v")
 
 
 def per_state(statuses: DataFrame) -> DataFrame:
