@@ -8,8 +8,10 @@ trigger's few rows of one key are put in order.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +23,8 @@ SECOND = 1_000_000
 def prepared(spark) -> None:
     """What stateful processors need of a session."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    # the processors travel with the query, so executors need not have this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _as_micros(rows: DataFrame, *names: str) -> DataFrame:
