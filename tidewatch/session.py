@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,8 @@ def configured(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where none is named (tests, one machine) is a temporary one made and set.
+    Where none is named, a temporary one serves a driver without executors (`local[n]`); on a cluster
+    that is an error, as executors could not read back what another one wrote.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
@@ -38,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
         current = context.getCheckpointDir()
         if current is not None:
             return current
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="tidewatch-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
