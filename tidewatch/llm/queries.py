@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, token_files
+from tidewatch.llm import merge_replay, packing, token_counts, token_files
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+MERGE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,3 +34,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.token_files(spark, docs, public_tokenizers.path(WORD_TOKENIZER), end_id=2)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file, pattern = public_tokenizers.path(MERGE_RANKS), public_tokenizers.PATTERN
+    ids = merge_replay.encoded(table(spark, sf_dir, "documents"), file, pattern)
+    return merge_replay.decoded(ids, file, pattern).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

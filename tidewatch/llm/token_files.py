@@ -122,8 +122,9 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    # a part is a unit of reading; dealt out anew as the prefix sum leaves them together
-    return manifest.repartition("part").mapInArrow(documents, DOCUMENT)
+    # a part is a unit of reading, one task for each; the number is given as adaptive execution would
+    # take such short rows together
+    return manifest.repartition(max(1, manifest.count()), "part").mapInArrow(documents, DOCUMENT)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
