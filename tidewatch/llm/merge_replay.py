@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers; beyond that it starts anew. About 150 bytes each.
-REMEMBERED = 1_200_000
+#: Words that a worker remembers; beyond that it starts anew. About 200 bytes each.
+REMEMBERED = 800_000
 #: Longer words, in characters, are encoded each time they come up.
 LONGEST_REMEMBERED = 64
 #: Texts of more characters are split into words step by step.
 BLOCK = 1 << 18
+#: Documents taken at a time.
+ROWS = 1_000
 #: Words that are looked at before the unknown ones among them are encoded.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 
 
 def merge_ranks(path: str) -> dict[bytes, int]:
@@ -229,3 +231,19 @@ def decoded(rows: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, back], names=["doc_id", "ids", "decoded"])
 
     return rows.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """`encoded` and `decoded` in one pass, so that each task needs one worker."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder(vocabulary, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                some = batch.slice(start, ROWS)
+                ids = codec.encode(some.column(1).to_pylist())
+                back = pa.array([codec.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary()), back], names=["doc_id", "ids", "decoded"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(both, "doc_id long, ids binary, decoded binary")
