@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.words import WHITE, let, text_of, window_hashes, words
+from tidewatch.llm.words import WHITE, let, settled, text_of, window_hashes, words
 
 #: Signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -158,7 +158,7 @@ def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> D
     far = (F.col("n_words") >= rules.least_words_compared) & (
         (F.col("class_distance") > rules.class_distance) | (F.col("word_distance") > rules.word_distance)
     )
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    return rows.withColumn("kept", settled(~F.col("base_failed") & ~F.coalesce(far, F.lit(False))))
 
 
 def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

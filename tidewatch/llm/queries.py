@@ -14,6 +14,7 @@ from tidewatch.llm import (
     order_minhash,
     packing,
     quality,
+    secret_scan,
     sharding,
     simhash,
     token_counts,
@@ -47,6 +48,13 @@ def op1_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.findings(docs, secret_scan.forest_for(docs))
+    return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 @query
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(table(spark, sf_dir, "documents"))

@@ -29,6 +29,15 @@ def let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def settled(condition: Column) -> Column:
+    """A condition to filter by that is computed where it stands.
+
+    The optimizer would move the filter down and repeat in it all that the condition is made of; what
+    depends on the place of a row stays.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def window_hashes(hashes: str, size: int) -> str:
     """A 64-bit hash of each `size` neighbours in an array of word hashes; none where there are fewer.
 
