@@ -73,8 +73,8 @@ def _unit(name: str) -> Column:
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Per document: doc_id, size, text_crc32, shard and slot.
 
-    Equal texts share a shard. A text's size is its UTF-8 bytes plus 1; a null text has none and is a group
-    of its own. Slots number the rows of a shard without gaps from 0. Repeated rows and rows without a doc_id
+    Equal texts share a shard. A text's size is its UTF-8 bytes plus 1; a null text has none and goes with
+    the empty ones. Slots number the rows of a shard without gaps from 0. Repeated rows and rows without a doc_id
     have slots of their own, an empty table gives no rows, and only doc_id and text are read. Where one
     group is larger than a shard's share, it fills a shard and the others are near equal.
 
@@ -88,7 +88,7 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
             # groups whose hashes happen to be equal share a shard, which keeps each of them whole too
-            F.xxhash64(text).alias("text_hash"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
         ),
         "shard-sizes",
     ).withColumn("unit", _unit("text_hash"))
