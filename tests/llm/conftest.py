@@ -29,7 +29,7 @@ ODD = [
     (1, "the same words " * 40, "en"),
     (2, "Ünï　cödé 日本語 é \x1c 😀 <|endoftext|> it's", "en"),
     (4, "x" * 40_000, "en"),
-    (6, "and so on, " * 9_000, "en"),
+    (6, "and so on, " * 1_500, "en"),
 ]
 
 

@@ -48,8 +48,11 @@ WITH texts AS (
       [len(list_filter(w, lambda x: list_contains(listed, x) IS NOT TRUE))]) END AS commons
   FROM split
 ), windows AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS n
-  FROM (SELECT r, w, unnest(range(1, n_words - {WINDOW - 2})) AS i FROM counted WHERE n_words >= {WINDOW})
+  SELECT r, i, count(*) OVER (PARTITION BY r, words) AS n
+  FROM (
+    SELECT r, unnest(range(1, n_words - {WINDOW - 2})) AS i,
+      unnest(list_transform(range(1, n_words - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS words
+    FROM counted WHERE n_words >= {WINDOW})
 ), repeats AS (
   SELECT r, sum(least({WINDOW}, coalesce(after - i, {WINDOW}))) AS n
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM windows WHERE n > 1) GROUP BY r

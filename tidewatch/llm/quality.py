@@ -146,8 +146,10 @@ def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> D
     rows = rows.withColumn("n_repeat_words", F.expr(f"aggregate({covered}, 0L, (s, x) -> s + x)"))
     rows = rows.withColumn(
         "base_failed",
-        (F.col("n_words") < rules.least_words)
-        | (F.lit(100) * F.col("n_repeat_words") > F.lit(rules.repeat_percent) * F.col("n_words")),
+        settled(
+            (F.col("n_words") < rules.least_words)
+            | (F.lit(100) * F.col("n_repeat_words") > F.lit(rules.repeat_percent) * F.col("n_words"))
+        ),
     )
     # a row for each language that has a list of common words, no more
     rows = rows.join(F.broadcast(reference), F.col("row.lang") == F.col("ref_lang"), "left")
