@@ -14,14 +14,16 @@ oracle("run_reports", f"""SELECT event_id AS id, 'flow-' || (user_id % 50) AS fl
     CASE WHEN event_type <> 'view' AND event_id % 13 <> 0 THEN {K} END AS k FROM events
     WHERE event_id % 11 <> 0 AND event_id % 17 <> 0 AND (event_id % 13 = 0 OR event_id % 19 <> 0)""")
 oracle("refused_reports", f"""SELECT event_id AS id, 'flow-' || (user_id % 50) AS flow, {RAW_RESULT} AS result,
-    CASE WHEN event_id % 11 = 0 THEN 'body: expected a json object of numbers'
-        WHEN event_id % 13 <> 0 AND event_id % 19 = 0 THEN 'body: up to 20 numbers with simple names'
-        ELSE 'expected start or an exit code' END AS refusal FROM events
+    CASE WHEN event_id % 11 = 0 THEN 'the body is not an object whose values are numbers'
+        WHEN event_id % 13 <> 0 AND event_id % 19 = 0 THEN 'at most 20 metrics, each with a plain name'
+        ELSE 'the result is neither start nor an exit code' END AS refusal FROM events
     WHERE event_id % 11 = 0 OR event_id % 17 = 0 OR (event_id % 13 <> 0 AND event_id % 19 = 0)""")
 oracle("call_reports", f"""SELECT flow, CAST(status AS BIGINT) AS status, count(*) AS calls, CAST(sum(millis) AS BIGINT) AS millis FROM (
     SELECT 'api-' || (user_id % 20) AS flow, {STATUS} AS status, CASE event_id % 3
         WHEN 0 THEN CAST(floor(value) AS BIGINT) WHEN 1 THEN 0 ELSE 86400000 END AS millis FROM events
     UNION ALL SELECT 'api-' || (user_id % 20), 200, 0 FROM events WHERE event_id % 3 = 0) GROUP BY 1, 2""")
+oracle("refused_calls", """SELECT 'api-' || (user_id % 20) AS flow, ts AS at,
+    'not a call or a list of calls, each with a status' AS refusal FROM events WHERE epoch_us(ts) // 1000000 % 7 = 0""")
 oracle("table_log_inventory", """SELECT table_name, version, committed_at, CASE WHEN nn = files THEN rows END AS rows,
     files, bytes, fields FROM (
     SELECT 't' || (o_custkey % 20) AS table_name, max(o_orderkey) AS version, max_by(o_orderdate, o_orderkey) AS committed_at,
@@ -36,7 +38,7 @@ oracle("completed_job_runs", """SELECT job_id, make_timestamp(end_ms * 1000) AS
     (end_ms - start_ms) // 1000 AS seconds FROM (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_ms DESC, run_id DESC) AS r,
         max(end_ms) OVER (PARTITION BY job_id) AS last FROM jr)
-    WHERE r <= 25 AND result_state = 'SUCCESS' AND end_ms > last - 86400000::BIGINT * 200""")
+    WHERE result_state = 'SUCCESS' AND end_ms > last - 86400000::BIGINT * 200""")
 oracle("job_run_problems", """SELECT job_id, 'run ' || run_id || ' ' || lower(coalesce(result_state, 'unknown')) || ': ' || message AS problem
     FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_ms DESC, run_id DESC) AS r FROM jr)
     WHERE r = 1 AND result_state IS DISTINCT FROM 'SUCCESS'""")
@@ -51,8 +53,7 @@ oracle("flow_catalogue", "SELECT flow, kind, every_seconds, grace_seconds, job_i
 oracle("settled_events", """SELECT id, flow, at FROM ev WHERE id > 1000 AND id < coalesce((SELECT min(id) FROM ev
     WHERE id > 1000 AND recorded_at > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 1 MINUTE), 9223372036854775807)""")
 oracle("settled_state_changes", """SELECT id, flow, at, state FROM sc WHERE id > 500 AND id < coalesce((SELECT min(id) FROM ev
-    WHERE id > 500 AND recorded_at > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 1 MINUTE), 9223372036854775807)
-    ORDER BY id LIMIT 100000""")
+    WHERE id > 500 AND recorded_at > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 1 MINUTE), 9223372036854775807)""")
 oracle("closed_minutes", """SELECT * FROM mi WHERE minute > TIMESTAMP '2024-01-05 00:00:00' AND minute < TIMESTAMP '2024-01-25 10:29:00'""")
 oracle("additive_upsert", "SELECT * FROM mi")
 oracle("last_call_per_flow", "SELECT flow, max(minute) AS last_ok FROM mi GROUP BY 1")

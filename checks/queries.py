@@ -81,6 +81,13 @@ def call_reports(m):
     )
 
 
+@query
+def refused_calls(m):
+    spoilt = F.expr("if(unix_seconds(at) % 7 = 0, '{\"millis\": 5}', body)")
+    raw = m.raw_calls.withColumn("body", spoilt)
+    return reports.refused_calls(raw).select("flow", "at", "refusal")
+
+
 @query
 def table_log_inventory(m):
     return table_logs.inventory(m.log_lines).select(
@@ -141,7 +148,7 @@ def settled_events(m):
 @query
 def settled_state_changes(m):
     changes = m.changes.join(m.events.select("id", "recorded_at"), "id")
-    rows = export.settled(changes, 500, at("2024-01-10 00:00:00"), export.BATCH_ROWS)
+    rows = export.settled(changes, 500, at("2024-01-10 00:00:00"))
     return rows.select("id", "flow", "at", "state")
 
 

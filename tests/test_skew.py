@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.model import AS_OF, MONTH, ZONE, Model
-from tidewatch.functions.ordered import SLOT, slotted
+from tidewatch.functions.ordered import SLOT, neighbours, recent, slotted
 from tidewatch.operators import alerts, files, maintenance, reliability, runs, tables
 from tidewatch.plans import monthly
 
@@ -110,3 +110,25 @@ def test_patterns_are_joined_by_their_stems(spark, hot):
         if fnmatch.fnmatchcase(f.flow, p.pattern)
     ]
     assert sorted((r.flow, r.name) for r in got.collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("size", [4, 2_000_000])
+def test_null_keys_and_null_values_count_like_any_other(spark, size):
+    rows = spark.range(60).select(
+        F.expr("if(id % 3 = 0, null, 'k')").alias("key"),
+        F.timestamp_seconds(F.col("id") * 600).alias("at"),
+        "id",
+        F.expr("if(id % 5 = 0, null, cast(id as double))").alias("v"),
+    )
+    given = slotted(rows, ["key"], "at", size)
+    assert (SLOT in given.columns) == (size == 4)
+    got = {r.id: r for r in neighbours(given, ["key"], ["at"], {"before": F.col("id")}, {"after": F.col("id")}, {"last": F.col("v")}).collect()}
+    history = {r.id: r.h for r in recent(given, ["key"], ["at"], F.col("v"), 4, "h").collect()}
+    assert len(got) == len(history) == 60
+    for keys in ([i for i in range(60) if i % 3 == 0], [i for i in range(60) if i % 3]):
+        for n, i in enumerate(keys):
+            assert got[i].before == (keys[n - 1] if n else None)
+            assert got[i].after == (keys[n + 1] if n + 1 < len(keys) else None)
+            earlier = [float(j) for j in keys[:n] if j % 5]
+            assert got[i].last == (earlier[-1] if earlier else None)
+            assert history[i] == [float(j) for j in keys[max(0, n - 4) : n] if j % 5]

@@ -76,14 +76,20 @@ def test_partial_counts_of_batches_add_up(spark, model, tmp_path):
     assert rows(total) == rows(calls.per_minute(model.calls))
 
 
-def test_only_settled_rows_leave_a_batch(spark, model, tmp_path):
-    target = str(tmp_path / "settled")
-    now = model.events.agg(F.max("recorded_at")).first()[0]
-    write = windows.settled_sink(target, lambda: F.lit(now))
-    write(model.events, 0)
-    young = model.events.where(F.col("recorded_at") > F.lit(now - dt.timedelta(minutes=1)))
+def test_only_settled_rows_leave_and_none_is_lost(spark, model, tmp_path):
+    target, end = str(tmp_path / "settled"), model.events.agg(F.max("recorded_at")).first()[0]
+    now = [end]
+    write = windows.settled_sink(target, lambda _: model.events, lambda: F.lit(now[0]))
+    write(model.events.where("id % 3 = 0"), 0)
+    young = model.events.where(F.col("recorded_at") > F.lit(end - dt.timedelta(minutes=1)))
     first = young.agg(F.min("id")).first()[0]
     assert spark.read.parquet(target).count() == model.events.where(F.col("id") < first).count()
+    # what was young comes with a later batch, also when that runs twice
+    now[0] = end + dt.timedelta(minutes=2)
+    for number in (1, 1, 2):
+        write(model.events.limit(0), number)
+    ids = sorted(r.id for r in spark.read.parquet(target).select("id").collect())
+    assert ids == sorted(r.id for r in model.events.select("id").collect())
 
 
 def test_repeated_batches_are_read_once(spark, model, tmp_path):

@@ -4,8 +4,7 @@ A plain window over one key puts all of that key's rows into one task. That is f
 every key is small, so the sizes are measured first. Where a key is too large, it is cut into
 time slots: a window runs inside (key, slot), and the little that crosses a slot border
 travels through a table with one row per slot. The slots only decide where the work is done:
-any slot assignment, or none, gives the same result. Keys and the ordering timestamp are
-never null in the model tables; where keys are split, rows with null keys are dropped.
+any slot assignment, or none, gives the same result, for null keys and null values as well.
 """
 
 from __future__ import annotations
@@ -21,6 +20,13 @@ ROWS_PER_SLOT = 2_000_000
 MAX_SPLIT_KEYS = 20_000
 
 
+def _matching(one: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join on keys of which a null equals a null; the other side's keys are left out."""
+    renamed = other.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return one.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def slotted(
     rows: DataFrame, keys: Sequence[str], at: str, rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
@@ -41,8 +47,7 @@ def slotted(
     epoch = F.unix_seconds(F.col(at))
     hour = F.floor(epoch / F.lit(3600)).alias("_hour")
     hourly = (
-        rows.select(*keys, at)
-        .join(F.broadcast(hottest), keys)
+        _matching(rows.select(*keys, at), F.broadcast(hottest), keys, "inner")
         .groupBy(*keys, hour)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -50,14 +55,12 @@ def slotted(
     width = F.greatest(F.lit(1), per_peak).cast("long").alias("_width")
     widths = hourly.groupBy(*keys).agg(width)
     slot = F.coalesce(F.floor(epoch / F.col("_width")), F.lit(0).cast("long"))
-    return rows.join(F.broadcast(widths), keys, "left").select(*rows.columns, slot.alias(SLOT))
+    return _matching(rows, F.broadcast(widths), keys, "left").select(*rows.columns, slot.alias(SLOT))
 
 
 def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # one explicit exchange, read by both the window branch and the border branch; the join
-    # of the two would infer "not null" on one side only, so it is stated for both
-    known = rows.where(" and ".join(f"{c} is not null" for c in (*keys, SLOT)))
-    return known.repartition(*keys, SLOT)
+    # one explicit exchange, read by both the window branch and the border branch
+    return rows.repartition(*keys, SLOT)
 
 
 def _whole_keys(
@@ -139,7 +142,7 @@ def neighbours(
         .where((F.col("_slots") > 1) & F.col("_whole").isNotNull())
         .select(*by_slot, *crossing)
     )
-    out = out.join(edges, by_slot, "left")
+    out = _matching(out, edges, by_slot, "left")
 
     found = {}
     for name in previous:
@@ -159,15 +162,17 @@ def recent(
     n: int,
     name: str,
 ) -> DataFrame:
-    """Adds the values of the up to ``n`` rows before each row, oldest first."""
+    """Adds the values of the up to ``n`` rows before each row, oldest first, without null ones."""
     keys, by_slot = list(keys), [*keys, SLOT]
     if SLOT not in rows.columns:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
         return rows.withColumn(name, F.collect_list(value).over(window))
     base = _spread(rows, keys)
     inside = Window.partitionBy(*by_slot).orderBy(*order)
+    # wrapped, a null value keeps its place until the rows are counted off
+    wrapped = F.struct(value.alias("v"))
     near = base.withColumn(
-        "_near", F.collect_list(value).over(inside.rowsBetween(-n, -1))
+        "_near", F.collect_list(wrapped).over(inside.rowsBetween(-n, -1))
     )
 
     # the last n rows of a slot are all that later slots can need from it
@@ -178,7 +183,7 @@ def recent(
         .groupBy(*by_slot)
         .agg(
             F.transform(
-                F.sort_array(F.collect_list(F.struct(*order, value.alias("_v")))),
+                F.sort_array(F.collect_list(F.struct(*order, wrapped.alias("_v")))),
                 lambda r: r["_v"],
             ).alias("_tail"),
             F.max(F.struct(*rows.columns)).alias("_whole"),
@@ -195,10 +200,9 @@ def recent(
         .where((F.col("_slots") > 1) & F.col("_whole").isNotNull())
         .select(*by_slot, "_far")
     )
-    joined = F.concat(F.coalesce("_far", F.array().cast("array<double>")), F.col("_near"))
+    joined = F.when(F.col("_far").isNull(), F.col("_near")).otherwise(F.concat("_far", "_near"))
     newest_n = F.slice(
         joined, F.greatest(F.size(joined) - F.lit(n - 1), F.lit(1)), F.lit(n)
     )
-    return near.join(edges, by_slot, "left").select(
-        *rows.columns, newest_n.alias(name)
-    )
+    values = F.array_compact(F.transform(newest_n, lambda w: w["v"]))
+    return _matching(near, edges, by_slot, "left").select(*rows.columns, values.alias(name))

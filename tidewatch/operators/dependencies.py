@@ -148,9 +148,13 @@ def components(flows: DataFrame) -> DataFrame:
 
 
 def steps(flows: DataFrame) -> DataFrame:
-    """(flow, step): the longest path from a flow without upstreams. Needs an acyclic catalogue."""
-    edges = cut(links(flows).select("flow", "upstream").distinct())
-    level = cut(flows.select("flow").distinct())
+    """(flow, step): the longest path from a flow without upstreams.
+
+    Flows on a circle, or behind one, have no such path and are left out; `cyclic` has them.
+    """
+    circle = cyclic(flows)
+    edges = cut(links(flows).select("flow", "upstream").distinct().join(circle, "flow", "left_anti"))
+    level = cut(flows.select("flow").distinct().join(circle, "flow", "left_anti"))
     done = level.withColumn("step", F.lit(0))
     depth = 0
     while True:

@@ -22,7 +22,8 @@ def timeline(
     rows_per_slot: int = ROWS_PER_SLOT,
 ) -> DataFrame:
     """(flow, start, end, outcome, detail, millis): runs, call buckets or single points by kind."""
-    hours = min(max(hours, MIN_HOURS), MAX_HOURS)
+    if not MIN_HOURS <= hours <= MAX_HOURS:
+        raise ValueError(f"a timeline covers {MIN_HOURS} to {MAX_HOURS} hours, not {hours}")
     now = F.lit(as_of).cast("timestamp")
     since = plus_seconds(now, F.lit(-hours * 3600))
     kinds = flows.select("flow", "kind", "max_error_rate")

@@ -9,7 +9,7 @@ from pyspark.sql.utils import AnalysisException
 # fixed values: how long a row takes to settle, and how long state changes are kept
 SETTLE_SECONDS = 60
 STATE_DAYS = 400
-BATCH_ROWS = 100_000
+NO_ID = -1
 LAST_ID = 9_223_372_036_854_775_807
 
 
@@ -48,12 +48,15 @@ def deduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.dropDuplicates(keys)
 
 
-def read_watermark(spark: SparkSession, folder: str) -> int:
+def read_watermark(spark: SparkSession, folder: str, before_batch: int | None = None) -> int:
+    """The largest watermark written; of the batches before one, where it is given."""
     try:
-        marks = spark.read.schema("watermark long").parquet(folder)
+        marks = spark.read.parquet(folder)
     except AnalysisException:
-        return 0
-    return marks.agg(F.coalesce(F.max("watermark"), F.lit(0))).first()[0]
+        return NO_ID
+    if before_batch is not None:
+        marks = marks.where(F.col("batch") < before_batch)
+    return marks.agg(F.coalesce(F.max("watermark"), F.lit(NO_ID))).first()[0]
 
 
 def export_settled(
@@ -65,12 +68,13 @@ def export_settled(
     writes appends a batch again; readers use :func:`deduplicated`.
     """
     watermark = read_watermark(spark, marks)
-    batch = settled(rows, watermark, as_of)
-    batch.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(
-        target
-    )
+    # what is exported is fixed first: looking again later would see more than was written
     last = settled(rows, watermark, as_of).agg(F.max("id")).first()[0]
     if last is None:
         return watermark
+    batch = rows.where((F.col("id") > watermark) & (F.col("id") <= last))
+    batch.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(
+        target
+    )
     spark.createDataFrame([(last,)], "watermark long").write.mode("append").parquet(marks)
     return last

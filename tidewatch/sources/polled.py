@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import human_duration, int_div, seconds_since
 
-# fixed values: completed runs looked at, and how early a certificate is warned about
-RUNS_SHOWN = 25
+# fixed value: how early a certificate is warned about
 CERTIFICATE_DAYS = 14
 
 
-def newest_runs(runs: DataFrame) -> DataFrame:
-    """The newest completed runs of each job, by start; ``newest`` counts from 1."""
-    order = Window.partitionBy("job_id").orderBy(F.desc("start_ms"), F.desc("run_id"))
-    return runs.withColumn("newest", F.row_number().over(order)).where(
-        F.col("newest") <= RUNS_SHOWN
-    )
-
-
 def run_successes(runs: DataFrame, last_ok: DataFrame) -> DataFrame:
     """(job_id, at, detail, seconds) of successful runs that ended after the last success.
 
     ``last_ok(job_id, last_ok)`` has one row per job.
     """
     at = F.timestamp_millis("end_ms")
-    good = newest_runs(runs).where(F.col("result_state") == "SUCCESS")
+    good = runs.where(F.col("result_state") == "SUCCESS")
     new = F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))
     return (
         good.withColumn("at", at)

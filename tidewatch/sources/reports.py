@@ -24,14 +24,14 @@ def _judged(raw: DataFrame) -> DataFrame:
     names_bad = F.exists(F.map_keys(sent), lambda k: ~valid_id(k))
     code = F.when(F.rlike("result", F.lit(r"\A[+-]?[0-9]+\z")), F.col("result").try_cast("long"))
     refusal = (
-        F.when(broken, "body: expected a json object of numbers")
+        F.when(broken, "the body is not an object whose values are numbers")
         .when(
             ~blank & ((F.size(sent) > MAX_METRICS) | names_bad),
-            "body: up to 20 numbers with simple names",
+            "at most 20 metrics, each with a plain name",
         )
-        .when(~valid_id(F.col("flow")), "flow ids use a-z, 0-9, '-', '_' and '.', up to 64")
+        .when(~valid_id(F.col("flow")), "a flow id has 1 to 64 of a-z, 0-9, dash, underscore and dot")
         .when(
-            (F.col("result") != "start") & code.isNull(), "expected start or an exit code"
+            (F.col("result") != "start") & code.isNull(), "the result is neither start nor an exit code"
         )
     )
     return raw.withColumns(
@@ -74,14 +74,26 @@ def _calls(body: Column) -> Column:
     return F.when(F.ltrim(body).startswith("["), many).otherwise(F.array(single))
 
 
-def call_reports(raw: DataFrame) -> DataFrame:
-    """(…, status, millis): one row per call of accepted ``(flow, at, body)`` batches."""
+def _judged_calls(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("_calls", _calls(F.col("body")))
-    fine = (F.size("_calls") <= MAX_CALLS) & F.forall(
-        "_calls", lambda c: c["status"].isNotNull()
+    whole = F.coalesce(F.forall("_calls", lambda c: c["status"].isNotNull()), F.lit(False))
+    refusal = F.when(~whole, "not a call or a list of calls, each with a status").when(
+        F.size("_calls") > MAX_CALLS, f"more than {MAX_CALLS} calls in one batch"
     )
+    return rows.withColumn("refusal", refusal)
+
+
+def refused_calls(raw: DataFrame) -> DataFrame:
+    """The batches :func:`call_reports` leaves out, with the reason."""
+    return _judged_calls(raw).where(F.col("refusal").isNotNull()).drop("_calls")
+
+
+def call_reports(raw: DataFrame) -> DataFrame:
+    """(…, status, millis): one row per call of accepted ``(flow, at, body)`` batches."""
     return (
-        rows.where(fine)
+        _judged_calls(raw)
+        .where(F.col("refusal").isNull())
+        .drop("refusal")
         .withColumn("_call", F.explode("_calls"))
         .withColumns({"status": F.col("_call.status"), "millis": F.col("_call.millis")})
         .drop("_calls", "_call", "body")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import status_class
 from tidewatch.operators.calls import clamped
-from tidewatch.sinks.export import settled
+from tidewatch.sinks.export import read_watermark, settled
 
 
 def minute_counts(calls: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -50,18 +50,28 @@ def additive_sink(target: str) -> Callable[[DataFrame, int], None]:
 
 
 def settled_sink(
-    target: str, as_of: Callable[[], Column] = F.current_timestamp
+    target: str,
+    history: Callable[[SparkSession], DataFrame],
+    as_of: Callable[[], Column] = F.current_timestamp,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that exports the settled rows of a table of growing history.
 
-    The batch is a signal that there is something new and is the rows themselves: those too
-    young, and everything after the first of them, wait for a later batch.
+    A batch only says that there is something new: a stream offers its rows once, so what is too
+    young in it would be lost. The rows are read from the history, after the last id that
+    earlier batches have exported; young ones, and everything after the first of them, are
+    there for a later batch. A batch that runs again replaces its rows and its mark.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        settled(batch, -1, as_of()).write.mode("overwrite").parquet(
-            f"{target}/batch={number}"
-        )
+        spark = batch.sparkSession
+        watermark = read_watermark(spark, f"{target}-marks", number)
+        # fixed first, as rows go on settling
+        last = settled(history(spark), watermark, as_of()).agg(F.max("id")).first()[0]
+        last = watermark if last is None else last
+        rows = history(spark).where((F.col("id") > watermark) & (F.col("id") <= last))
+        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        mark = spark.createDataFrame([(last,)], "watermark long")
+        mark.write.mode("overwrite").parquet(f"{target}-marks/batch={number}")
 
     return write
 
