@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import stored
 from tidewatch.llm.words import let, settled, text_of
 
 #: What may be a secret.
@@ -27,7 +28,8 @@ REDACTED = "[SECRET]"
 TREES, DEPTH = 16, 6
 #: Labelled findings that a forest is trained on at most, and documents that lend them words.
 TRAINING_ROWS = 6_000
-WORD_DOCUMENTS = 200
+WORD_DOCUMENTS = 50
+WORDS_EACH = 16
 
 KEY_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signature"
 DECOY_WORDS = (
@@ -99,8 +101,8 @@ def labelled_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """
     spark = docs.sparkSession
     lenders = docs.select(text_of().alias("t")).orderBy(F.xxhash64("t"), "t").limit(WORD_DOCUMENTS)
-    lent = lenders.select(F.explode(F.expr("slice(regexp_extract_all(t, '[A-Za-z]{3,}', 0), 1, 50)")).alias("w"))
-    # at most 50 words of each of those documents
+    lent = lenders.select(F.explode(F.expr(f"slice(regexp_extract_all(t, '[A-Za-z]{{3,}}', 0), 1, {WORDS_EACH})")).alias("w"))
+    # at most WORDS_EACH words of each of those documents
     words = sorted(r["w"] for r in lent.distinct().collect()) + DICTIONARY
     numbered = spark.range(rows).withColumn("digest", F.sha2(F.col("id").cast("string"), 256))
 
@@ -275,4 +277,5 @@ def redacted(docs: DataFrame, forest: RandomForestClassificationModel) -> DataFr
 
 def forest_for(docs: DataFrame) -> RandomForestClassificationModel:
     """A forest trained on the labelled findings that are made for these documents."""
-    return trained(labelled_findings(docs))
+    # written once, as training reads it again and again
+    return trained(stored(labelled_findings(docs), "labelled-findings"))
