@@ -21,15 +21,15 @@ from tidewatch.llm.common import stored
 from tidewatch.llm.words import let, settled, text_of
 
 #: What may be a secret.
-CANDIDATE = "[A-Za-z0-9+/=_-]{16,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Characters before and after a candidate that count as its neighbours.
 BEFORE, AFTER = 48, 24
 REDACTED = "[SECRET]"
 TREES, DEPTH = 16, 6
 #: Labelled findings that a forest is trained on at most, and documents that lend them words.
 TRAINING_ROWS = 6_000
-WORD_DOCUMENTS = 50
-WORDS_EACH = 16
+WORD_DOCUMENTS = 200
+WORDS_EACH = 50
 
 KEY_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signature"
 DECOY_WORDS = (
@@ -102,15 +102,16 @@ def labelled_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     spark = docs.sparkSession
     lenders = docs.select(text_of().alias("t")).orderBy(F.xxhash64("t"), "t").limit(WORD_DOCUMENTS)
     lent = lenders.select(F.explode(F.expr(f"slice(regexp_extract_all(t, '[A-Za-z]{{3,}}', 0), 1, {WORDS_EACH})")).alias("w"))
-    # at most WORDS_EACH words of each of those documents
-    words = sorted(r["w"] for r in lent.distinct().collect()) + DICTIONARY
+    # at most WORDS_EACH words of each of those documents, looked up once when the rows are made
+    given = F.split(F.lit(" ".join(DICTIONARY)), " ")
+    words = lent.agg(F.concat(F.array_sort(F.collect_set("w")), given)).scalar()
     numbered = spark.range(rows).withColumn("digest", F.sha2(F.col("id").cast("string"), 256))
 
     def pick(values: list[str] | Column, salt: int) -> Column:
         listed = values if isinstance(values, Column) else F.array(*map(F.lit, values))
         return F.get(listed, F.pmod(F.xxhash64("id", F.lit(salt)), F.size(listed)).cast("int"))
 
-    word = lambda salt: pick(F.split(F.lit(" ".join(words)), " "), salt)
+    word = lambda salt: pick(words, salt)
     coded = F.translate(F.base64(F.unhex("digest")), "=", "")
     secrets = [
         F.substring("digest", 1, 40),
@@ -135,7 +136,7 @@ def labelled_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
         (identifier, pick(announced, 16)),
         (F.concat_ws("/", F.lit("usr"), word(1), word(2), word(3)), pick(["see /", "file: /", "../", "token file /"], 17)),
         (F.concat(pick(["your_", "example_", "placeholder_", "dummy_"], 18), word(1), F.lit("_goes_here")), pick(announced, 19)),
-        (F.repeat(pick(["x", "0", "-", "=", "_"], 20), 24), pick(announced, 21)),
+        (F.repeat(pick(["x", "0", "-", "_"], 20), 24), pick(announced, 21)),
         (F.concat(F.lower(word(1)), F.lower(word(2)), F.lower(word(3)), F.lower(word(4)), F.lit("ation")), F.concat(word(7), F.lit(" "))),
     ]
     closing = pick(['"', "'", " ", "", "\n"], 22)
