@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewatch.llm import warc
 from tidewatch.llm.quality import CLASSES, COMMON, WINDOW, Rules
 
 _rules = Rules()
@@ -74,3 +75,52 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     AND (class_distance > {_rules.class_distance} OR word_distance > {_rules.word_distance}), false) AS kept
 FROM scored
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _identifier(*parts: str) -> str:
+    h = f"md5(concat_ws('|', {', '.join(parts)}))"
+    cut = ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || concat_ws('-', {cut}) || '>'"
+
+
+def _field(name: str, value: str) -> str:
+    return f"CASE WHEN {value} = '' THEN '' ELSE '{name}: ' || {value} || chr(13) || chr(10) END"
+
+
+_text = f"regexp_replace(payload, {_quoted(warc.HIDDEN)}, '', 'g')"
+_text = f"regexp_replace({_text}, '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')"
+_text = f"regexp_replace(regexp_replace({_text}, {_quoted(warc.LINES)}, chr(10), 'g'), {_quoted(warc.TAGS)}, '', 'g')"
+for _name, _sign in warc.ENTITIES:
+    _text = f"replace({_text}, {_quoted(_name)}, {_quoted(_sign)})"
+_text = f"trim(regexp_replace(regexp_replace({_text}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+_title = r"regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
+_lang = r"""regexp_extract(payload, '(?i)<html[^>]*?\slang="([^"]*)"', 1)"""
+_link = r"""'(?i)<a\s[^>]*?href="([^"]*)"'"""
+_end = "chr(13) || chr(10)"
+
+WARC = f"""
+WITH pages_in AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
+), digested AS (
+  SELECT *, 'sha256:' || sha256(payload) AS source_payload_digest FROM pages_in
+), response AS (
+  SELECT *, {_identifier("'response'", "coalesce(page_id::VARCHAR, '')", "target_uri", "source_payload_digest")} AS refers_to
+  FROM digested
+), made AS (
+  SELECT *, 'metadata' AS warc_type, 'source-payload-digest: ' || source_payload_digest || {_end}
+    || 'source-http-header: HTTP/1.1 200 OK' || {_end}
+    || 'source-http-header: Content-Type: text/html; charset=utf-8' || {_end}
+    || 'source-http-header: Content-Length: ' || strlen(payload) || {_end}
+    || {_field("language", _lang)} || {_field("title", f"regexp_replace({_title}, '[\\r\\n]+', ' ', 'g')")}
+    || array_to_string(list_transform(regexp_extract_all(payload, {_link}, 1), lambda x: 'outlink: ' || x || {_end}), '') AS block
+  FROM response
+  UNION ALL SELECT *, 'conversion', {_text} FROM response
+)
+SELECT page_id, warc_type, {_identifier("warc_type", "refers_to")} AS record_id, refers_to, target_uri,
+  strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, source_payload_digest
+FROM made
+"""

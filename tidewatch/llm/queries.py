@@ -19,11 +19,12 @@ from tidewatch.llm import (
     simhash,
     token_counts,
     token_files,
+    warc,
 )
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY, "op7_warc_derivatives": oracles.WARC}
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -86,6 +87,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, docs, public_tokenizers.path(WORD_TOKENIZER), end_id=1, capacity=4096)
 
 
+@query
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    size = F.octet_length("block").cast("long").alias("content_length")
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", size, "block_digest", "source_payload_digest")
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
