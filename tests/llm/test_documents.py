@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_tokens import check_packed
-from tidewatch.llm import oracles, order_minhash, quality, queries, secret_scan, sharding, simhash
+from tidewatch.llm import near_copies, oracles, order_minhash, quality, queries, secret_scan, sharding, simhash
 
 # --- sharding
 
@@ -259,6 +259,54 @@ def test_chains_and_buckets_of_any_size(spark, bucket):
     assert {s: min(g) for g in groups.values() for s in g if s != min(g)} == root
 
 
+# --- near copies of the stage
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({b" ".join(words)} if words else set())
+
+
+def plain_copies(texts):
+    """A group's number for each text, by comparing all pairs."""
+    sets, group = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and (sets[i] == sets[j] or 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both)):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_stage_takes_near_copies(spark, folder):
+    rng = random.Random(3)
+    texts = []
+    for k in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 200, 800]))]
+        texts.append(" ".join(words))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.06):  # each changed word spoils five shingles
+            texts.append(" ".join(f"x{rng.random()}" if rng.random() < share else w for w in words))
+    texts += [texts[0].upper(), "", None, "a b", "A  b", "a b c"]
+    for k in range(25):  # a chain whose ends are not alike
+        texts.append(" ".join(f"c{i}" for i in range(10 * k, 10 * k + 200)))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()}
+    first: dict = {}
+    for i, g in enumerate(plain_copies(texts)):
+        first.setdefault(g, i)
+    assert kept == set(first.values())
+    assert len(kept) < simhash.one_of_each(docs).count()
+
+
+def test_stage_on_odd_rows(spark, odd, empty):
+    kept = near_copies.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == len(set(plain_copies([r.text for r in odd.collect()])))
+    assert near_copies.one_of_each(empty).collect() == []
+
+
 # --- quality
 
 
@@ -364,6 +412,16 @@ def test_pipeline_equals_a_plain_one(spark, folder, given):
     check_packed(corpus_pipeline.run(spark, folder).collect(), texts, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def test_pipeline_takes_near_copies(spark, folder, given):
+    con = database(folder)
+    kept = {k for k, ok in con.execute(f"SELECT doc_id, kept FROM ({oracles.QUALITY})").fetchall() if ok}
+    rows = sorted((r for r in given if r.doc_id in kept), key=lambda r: r.doc_id)
+    first: dict = {}
+    for r, g in zip(rows, plain_copies([r.text for r in rows])):
+        first.setdefault(g, r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == set(first.values())
+
+
 def test_stages_keep_the_columns_of_documents(spark, odd, folder):
     rows = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

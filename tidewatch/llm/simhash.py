@@ -8,7 +8,7 @@ any RADIUS vectors a non-zero one is orthogonal to all. So no pair within the ra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -214,12 +214,19 @@ def as_text(fingerprint: str) -> Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest doc_id.
+    """The documents without near-duplicates: of each component the one with the smallest doc_id."""
+    return one_of_each_of(docs, near_duplicates(docs), fingerprint)
+
+
+def one_of_each_of(docs: DataFrame, components: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
+    """Of each component, as `near_duplicates` has them, the document with the smallest doc_id.
+
+    `print_of` makes a text's fingerprint, unsigned.
 
     Columns stay as they are. Of rows that share that doc_id one with the least fingerprint stays, and of
     equal ones one; of a component without any doc_id one row stays.
     """
-    found = stored(near_duplicates(docs), "near-duplicates")
+    found = stored(components, "near-duplicates")
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = heads.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
     copies = found.groupBy("doc_id").agg(F.count("*").alias("copies"))
@@ -234,7 +241,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def printed(texts):
         import pandas as pd
 
-        made = np.fromiter((fingerprint(t) for t in texts), dtype="<u8", count=len(texts))
+        made = np.fromiter((print_of(t) for t in texts), dtype="<u8", count=len(texts))
         return pd.Series(made.view("<i8"))
 
     # ids that came up more than once say nothing alone
