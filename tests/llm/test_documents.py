@@ -337,6 +337,21 @@ def test_texts_unlike_their_language_go_and_clean_ones_stay(spark, folder):
     assert judged.count() > 5 and judged.where("kept").isEmpty()
 
 
+def test_a_junk_text_in_a_third_of_all_rows_changes_nothing(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in quality.passing(docs).select("doc_id").collect()}
+    [one] = docs.where("n_chars > 3000 and lang = 'en'").orderBy("doc_id").limit(1).collect()
+    junk = one.text.replace(" ", " ### ")
+    rows = [(1_000_000 + i, junk, "en", "s", len(junk)) for i in range(100)]
+    # a text that the counts reject must not count either
+    rows += [(2_000_000, "#%& 1234 " * 20_000, "en", "s", 180_000)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    assert {r.doc_id for r in quality.passing(both).select("doc_id").collect()} == kept
+    clean = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").join(docs, "doc_id", "left_semi")
+    failed = {r.doc_id for r in quality.judged(docs).where("base_failed").select("row.doc_id").collect()}
+    assert {r.doc_id for r in clean.collect()} - failed <= kept
+
+
 # --- secrets
 
 
@@ -413,8 +428,7 @@ def test_pipeline_equals_a_plain_one(spark, folder, given):
 
 
 def test_pipeline_takes_near_copies(spark, folder, given):
-    con = database(folder)
-    kept = {k for k, ok in con.execute(f"SELECT doc_id, kept FROM ({oracles.QUALITY})").fetchall() if ok}
+    kept = {r.doc_id for r in quality.passing(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
     rows = sorted((r for r in given if r.doc_id in kept), key=lambda r: r.doc_id)
     first: dict = {}
     for r, g in zip(rows, plain_copies([r.text for r in rows])):

@@ -89,10 +89,14 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     rows = _histograms(docs, rules).where(F.size("words") >= rules.least_words_compared)
     rows = rows.where(F.col("row.lang").isin(*rules.common))
+    return _summed(rows.select(F.col("row.lang").alias("ref_lang"), "classes", "commons"), rules)
+
+
+def _summed(rows: DataFrame, rules: Rules) -> DataFrame:
     length = max(len(c.split()) for c in rules.common.values()) + 1
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"class_{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.get("commons", F.lit(i))).alias(f"common_{i}") for i in range(length)]
-    summed = rows.groupBy(F.col("row.lang").alias("ref_lang")).agg(*sums)
+    summed = rows.groupBy("ref_lang").agg(*sums)
     return summed.select(
         "ref_lang",
         F.array(*(f"class_{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"),
@@ -114,13 +118,8 @@ def distance(own: str, reference: str) -> Column:
     )
 
 
-def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents as `row`, with the counts, the two distances, base_failed and kept.
-
-    A null text has no words. A document without a language, or of one without a reference, is judged by
-    its counts alone. Every row is judged by itself: repeated rows give equal results, and an empty table
-    gives none. Very long texts are taken whole; repeated windows are found by sorting their hashes.
-    """
+def _counted(docs: DataFrame, rules: Rules) -> DataFrame:
+    """Adds to `_histograms` the counts of words, lines and repeats, and base_failed."""
     rows = _histograms(docs, rules).withColumn("n_words", F.size("words").cast("long"))
     white = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
     rows = rows.withColumn("lines", F.expr(f"filter(split(t, char(10)), x -> btrim(x, {white}) <> '')"))
@@ -144,15 +143,43 @@ def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> D
     )
     covered = f"transform(places, (p, k) -> least({WINDOW}, coalesce(get(places, k + 1) - p, {WINDOW})))"
     rows = rows.withColumn("n_repeat_words", F.expr(f"aggregate({covered}, 0L, (s, x) -> s + x)"))
-    rows = rows.withColumn(
+    return rows.withColumn(
         "base_failed",
         settled(
             (F.col("n_words") < rules.least_words)
             | (F.lit(100) * F.col("n_repeat_words") > F.lit(rules.repeat_percent) * F.col("n_words"))
         ),
     )
+
+
+#: What the shares of a document's histogram add up to, in whole numbers so that sums don't hang on order.
+WHOLE = 1_000_000_000
+
+
+def robust_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """As `references`, but each different text that passes the base rules adds its shares, and adds them once.
+
+    So neither repeats of a text nor its length make it count for more, and junk that the counts already
+    reject does not count.
+    """
+    rows = _counted(docs, rules).where(~F.col("base_failed") & (F.col("n_words") >= rules.least_words_compared))
+    rows = rows.where(F.col("row.lang").isin(*rules.common))
+    share = "transform({0}, c -> c * {1}L div aggregate({0}, 0L, (s, x) -> s + x))"
+    shares = F.struct(*(F.expr(share.format(name, WHOLE)).alias(name) for name in ("classes", "commons")))
+    rows = rows.select(F.col("row.lang").alias("ref_lang"), F.md5(F.col("t").cast("binary")).alias("text"), shares.alias("shares"))
+    rows = rows.groupBy("ref_lang", "text").agg(F.min("shares").alias("shares")).select("ref_lang", "shares.*")
+    return _summed(rows, rules)
+
+
+def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The documents as `row`, with the counts, the two distances, base_failed and kept.
+
+    A null text has no words. A document without a language, or of one without a reference, is judged by
+    its counts alone. Every row is judged by itself: repeated rows give equal results, and an empty table
+    gives none. Very long texts are taken whole; repeated windows are found by sorting their hashes.
+    """
     # a row for each language that has a list of common words, no more
-    rows = rows.join(F.broadcast(reference), F.col("row.lang") == F.col("ref_lang"), "left")
+    rows = _counted(docs, rules).join(F.broadcast(reference), F.col("row.lang") == F.col("ref_lang"), "left")
     for name in ("classes", "commons", "ref_classes", "ref_commons"):
         rows = rows.withColumn(f"{name}_n", F.expr(f"aggregate({name}, 0L, (s, x) -> s + x)"))
     rows = rows.withColumn("class_distance", distance("classes", "ref_classes"))
@@ -169,5 +196,5 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def passing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, with their columns as they came."""
-    return judged(docs, rules).where("kept").select("row.*")
+    """The documents that are kept against `robust_references`, with their columns as they came."""
+    return measured(docs, robust_references(docs, rules), rules).where("kept").select("row.*")
