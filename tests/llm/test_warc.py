@@ -42,6 +42,21 @@ def test_text_links_and_digests(spark):
     assert empty.collect() == []
 
 
+def test_links_in_any_quotes_and_references_of_any_kind(spark):
+    page = (
+        "<html class=x lang='fr'><body><a href='/one'>1</a><a class=b href=/two/>2</a><A title=\"href=no\" HREF = \"/three\">3</A>"
+        "<a data-href='/no' href=/four>4</a><a name=x>5</a>"
+        "<p>caf&#233; it&#x27;s &eacute;&hellip;&euro; &#128512; &#150; &#38;lt; &amp;#65; &amp;lt; &nosuch; &#0; R&D &Tab;x&#160;y</p></body></html>"
+    )
+    bare = "<html lang=it><a href=x>y</a>"
+    rows = spark.createDataFrame([(1, "u", page), (2, "u", bare)], "page_id long, url string, html string")
+    got = {(r.page_id, r.warc_type): r.block for r in warc.derivatives(warc.responses(rows)).collect()}
+    assert re.findall("outlink: (.*)\r\n", got[1, "metadata"]) == ["/one", "/two/", "/three", "/four"]
+    assert "language: fr\r\n" in got[1, "metadata"]
+    assert "language: it\r\noutlink: x\r\n" in got[2, "metadata"]
+    assert got[1, "conversion"].split("\n")[-1] == "café it's é…€ 😀 – &lt; &#65; &lt; &nosuch; \ufffd R&D \tx y"
+
+
 def test_files_hold_every_record(spark, folder, tmp_path):
     made = warc.derivatives(warc.responses(spark.read.parquet(f"{folder}/pages.parquet")))
     placed = warc.write(made, str(tmp_path / "warc")).collect()

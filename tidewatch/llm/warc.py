@@ -11,6 +11,8 @@ from __future__ import annotations
 import gzip
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,13 +27,56 @@ LINES = (
     r"\b[^>]*>"
 )
 TAGS = r"<[a-zA-Z/!?][^>]*>"
-#: Named characters that are spelt out; & comes last. Others stay as they are.
+#: Usual named characters and what plain text has for them; & comes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-LINK = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
+#: References to characters, by number or name. Names that HTML does not know stay as they are.
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+#: What HTML reads in place of the numbers 128 to 159.
+REPLACED = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
 #: The given tables don't say when a page was fetched.
 DATE = "2024-01-01T00:00:00Z"
 
 
+def _attribute(tag: str, name: str, loose: str) -> str:
+    """An expression for an attribute's value, in quotes of either kind or bare.
+
+    Other attributes are passed over whole. Where a tag is not well formed, `loose` leads to a value in double quotes.
+    """
+    other = rf"""[\s/]++(?!{name}[\s=])[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
+    return rf"""(?i)<{tag}(?:(?:{other})*+[\s/]+{name}\s*=\s*|{loose}{name}=(?="))("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+
+
+LINK = _attribute("a", "href", r"\s[^>]*?")
+LANG = _attribute("html", "lang", r"[^>]*?\s")
+
+
+def _unquoted(value: Column) -> Column:
+    return F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def _character(reference: Column) -> Column:
+    """The character that a reference stands for; a reference that means nothing as it is."""
+    usual = reduce(lambda other, e: F.when(reference == e[0], e[1]).otherwise(other), ENTITIES, F.lit(None).cast("string"))
+    names = {f"&{n}": c for n, c in html5.items() if n.endswith(";")}
+    named = F.try_element_at(F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in names.items())), F.lit("\x01"), F.lit("\x02")), reference)
+    hexadecimal = F.conv(F.regexp_extract(reference, "^&#[xX](.*);$", 1), 16, 10)
+    digits = F.when(reference.rlike("^&#[xX]"), hexadecimal).otherwise(F.regexp_extract(reference, "^&#(.*);$", 1))
+    number = F.coalesce(digits.try_cast("long"), F.lit(0))
+    bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    sign = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(number)), 8, "0")), "UTF-32")
+    listed = F.array(*map(F.lit, REPLACED))
+    sign = F.when(number == 160, " ").when(number.between(128, 159), F.get(listed, (number - 128).cast("int"))).otherwise(sign)
+    return F.coalesce(usual, F.when(reference.startswith("&#"), sign).otherwise(named), reference)
+
+
+def _unescaped(text: str) -> Column:
+    """A text column with each reference, as it was written, replaced once."""
+    parts, found = F.split(text, REFERENCE, -1), F.regexp_extract_all(F.col(text), F.lit(REFERENCE), F.lit(0))
+    signs = F.concat(F.transform(found, _character), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(parts, signs, lambda p, c: F.concat(p, c)), "")
+    return F.when(F.col(text).contains("&"), joined).otherwise(F.col(text))
+
+
 def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
@@ -66,15 +111,13 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: a line for each block, single spaces, no markup."""
+def plain_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """Adds the text of a page: a line for each block, single spaces, no markup."""
     text = F.regexp_replace(html, HIDDEN, "")
     text = F.regexp_replace(text, r"[ \t\r\n\f\x0b]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, LINES, "\n"), TAGS, "")
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    text = F.regexp_replace(F.regexp_replace(text, " +", " "), " ?\n[ \n]*", "\n")
-    return F.btrim(text, F.lit(" \n"))
+    rows = rows.withColumn(name, F.regexp_replace(F.regexp_replace(text, LINES, "\n"), TAGS, ""))
+    text = F.regexp_replace(F.regexp_replace(_unescaped(name), " +", " "), " ?\n[ \n]*", "\n")
+    return rows.withColumn(name, F.btrim(text, F.lit(" \n")))
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -86,9 +129,9 @@ def derivatives(records: DataFrame) -> DataFrame:
     """
     named = lambda kind: identifier(F.lit(kind), F.col("record_id"))
     title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
-    lang = F.regexp_extract("payload", r"(?i)<html[^>]*?\slang=\"([^\"]*)\"", 1)
+    lang = _unquoted(F.regexp_extract("payload", LANG, 1))
     links = F.array_join(
-        F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""
+        F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), _unquoted(x), F.lit("\r\n"))), ""
     )
     field = lambda name, value: F.when(value == "", "").otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")))
     about = F.concat(
@@ -99,7 +142,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         links,
     )
     rows = records.select("*", named("metadata").alias("_m"), named("conversion").alias("_c"))
-    rows = rows.withColumn("_about", about).withColumn("_text", plain_text(F.col("payload")))
+    rows = plain_text(rows.withColumn("_about", about), "payload", "_text")
     made = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.col("_m").alias("id"), F.col("_c").alias("other"),
                  F.lit("application/warc-fields").alias("kind"), F.col("_about").alias("block")),
