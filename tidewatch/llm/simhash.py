@@ -8,7 +8,7 @@ any RADIUS vectors a non-zero one is orthogonal to all. So no pair within the ra
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
@@ -52,6 +52,8 @@ def fingerprint(text: str | None) -> int:
 #: Different fingerprints of one table and key that are compared with each other in one task; the pairs of
 #: larger buckets are found by hiding bits one by one, see `_dealt`.
 BUCKET = 4_096
+#: A fingerprint with more than one of so many rows is hot; fewer than this many can be.
+HOT_SHARE = 1_024
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -188,10 +190,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     without a doc_id is linked too; where no row of a component has one, component_id is null. Repeated rows
     give repeated results, an empty table none. Only doc_id and text are read, whatever other columns there are.
 
-    Copies meet once, as one fingerprint, so no group of them is ever compared with itself.
+    Copies meet once, as one fingerprint, so no group of them is ever compared with itself. Rows of hot
+    fingerprints stay where they are and get their component from a broadcast of fewer than HOT_SHARE rows.
     """
     prints = stored(fingerprints(docs), "simhash")
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    counted = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    distinct = stored(counted, "simhash-distinct")
     stars = connected(edges(distinct, radius, bucket))
     members = stars.select(F.col("node").alias("fingerprint"), "root").unionByName(
         stars.select(F.col("root").alias("fingerprint"), "root").distinct()
@@ -203,9 +207,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
         "fingerprint",
         F.coalesce("lowest", "first").alias("component_id"),
         F.coalesce("root", "fingerprint").alias("root"),
+        (F.col("n") * HOT_SHARE > distinct.agg(F.sum("n")).scalar()).alias("hot"),
     )
-    # many rows may share a fingerprint; both sides are plain exchanges, which adaptive execution can split
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id", "root")
+    classes = stored(classes, "simhash-classes")
+    hot = F.broadcast(classes.where("hot"))
+    few = prints.join(hot.select("fingerprint"), "fingerprint", "left_anti").join(classes.where("not hot"), "fingerprint")
+    found = prints.join(hot, "fingerprint").unionByName(few)
+    return found.select("doc_id", "fingerprint", "component_id", "root")
 
 
 def as_text(fingerprint: str) -> Column:
@@ -215,14 +223,12 @@ def as_text(fingerprint: str) -> Column:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest doc_id."""
-    return one_of_each_of(docs, near_duplicates(docs), fingerprint)
+    return one_of_each_of(docs, near_duplicates(docs))
 
 
-def one_of_each_of(docs: DataFrame, components: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
+def one_of_each_of(docs: DataFrame, components: DataFrame) -> DataFrame:
     """Of each component, as `near_duplicates` has them, the document with the smallest doc_id.
 
-    `print_of` makes a text's fingerprint, unsigned.
-
     Columns stay as they are. Of rows that share that doc_id one with the least fingerprint stays, and of
     equal ones one; of a component without any doc_id one row stays.
     """
@@ -241,7 +247,7 @@ def one_of_each_of(docs: DataFrame, components: DataFrame, print_of: Callable[[s
     def printed(texts):
         import pandas as pd
 
-        made = np.fromiter((print_of(t) for t in texts), dtype="<u8", count=len(texts))
+        made = np.fromiter(map(fingerprint, texts), dtype="<u8", count=len(texts))
         return pd.Series(made.view("<i8"))
 
     # ids that came up more than once say nothing alone
