@@ -7,8 +7,8 @@ apart, that whose prefix ends first has its other pivot among the prefix of the
 
 The positions of that bigram are limited: the edit is on one side of it, so the other side is the same in
 both words, at the same distance from that end of the word. Index keys are the bigram with its untouched
-side. Where that side is short, the touched one is cut in three: the edit is in one third, so the key also
-holds the two others, which again are at the same distance from their ends.
+side. Where that side is short, the touched one is cut in two: the edit is in one half, so the key also holds
+the other one, which again is at the same distance from its end.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ LEAST_LENGTH, LEAST_COUNT = 7, 2
 #: A form has at least so many times the occurrences.
 USUAL = 10
 #: A side of so many characters is a key by itself; a shorter one gets parts of the other side.
-LONG_SIDE, PARTS = 7, 3
+LONG_SIDE, PARTS = 6, 2
+#: Bits for the place of a bigram, of which there are at most 90 * 90.
+GRAM_BITS = 13
 #: Words that a task counts before it passes their counts on.
 COUNTED = 250_000
 #: Texts of more characters are not split at once.
@@ -140,34 +142,32 @@ def near_pairs(words: DataFrame) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        kinds = (pa.uint64(), pa.bool_(), pa.string(), pa.int64(), pa.int32())
+        kinds = (pa.uint64(), pa.bool_(), pa.string(), pa.int64())
         for batch in batches:
             rows = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 prefix, pivots, last = chosen(word, counts, order)
-                for i in prefix:
-                    pivot = i in pivots
-                    for key in keys(word, i):
-                        h = digest(key)
-                        rows.append((h, False, word, n, last))
-                        if pivot:
-                            rows.append((h, True, word, n, last))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([columns[0].view(pa.int64()), *columns[1:]], names=["key", "pivot", "word", "n", "last"])
-
-    made = stored(words.mapInArrow(keyed, "key long, pivot boolean, word string, n long, last int"), "spelling-keys")
-    index = made.where("pivot").select("key", "word", "n", "last")
-    probe = made.where("not pivot").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"))
+                # the count and the place of the prefix' last bigram in one number
+                n = n << GRAM_BITS | last
+                rows.extend((digest(key), i in pivots, word, n) for i in prefix for key in keys(word, i))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)]
+            yield pa.RecordBatch.from_arrays([columns[0].view(pa.int64()), *columns[1:]], names=["key", "pivot", "word", "n"])
+
+    made = stored(words.mapInArrow(keyed, "key long, pivot boolean, word string, n long"), "spelling-keys")
+    index = made.where("pivot").select("key", "word", "n")
+    probe = made.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    last = lambda n: F.col(n).bitwiseAND(F.lit((1 << GRAM_BITS) - 1))
     met = index.join(probe, "key").where(
-        (F.col("last") <= F.col("other_last"))
+        (last("n") <= last("other_n"))
         & (F.abs(F.length("word") - F.length("other")) <= 1)
         & (F.levenshtein("word", "other", 1) == 1)
     )
-    both = F.array(
-        F.struct(F.col("word").alias("word"), F.col("n").alias("n"), F.col("other").alias("other"), F.col("other_n").alias("other_n")),
-        F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")),
-    )
-    return met.select("word", "n", "other", "other_n").distinct().select(F.explode(both).alias("one")).select("one.*").distinct()
+    own = F.struct("word", F.shiftright("n", GRAM_BITS).alias("n"))
+    its = F.struct(F.col("other").alias("word"), F.shiftright("other_n", GRAM_BITS).alias("n"))
+    pairs = met.select(F.least(own, its).alias("a"), F.greatest(own, its).alias("b")).distinct()
+    turned = [F.struct(F.col(x).alias("one"), F.col(y).alias("two")) for x, y in ("ab", "ba")]
+    both = pairs.select(F.explode(F.array(*turned)).alias("p"))
+    return both.select("p.one.*", F.col("p.two.word").alias("other"), F.col("p.two.n").alias("other_n"))
 
 
 def followed(forms: DataFrame) -> DataFrame:
