@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     fill_in_middle,
+    html_wrappers,
     merge_replay,
     oracles,
     order_minhash,
@@ -133,6 +134,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_wrappers.extracted(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
