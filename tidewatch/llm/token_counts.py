@@ -98,10 +98,12 @@ class TokenCounter:
             if "  " in piece or piece[-1].isspace() or piece[:1].isspace() and piece[1:2].isspace():
                 # offsets of the tokens say where the words within it part
                 got = self.tokenizer.encode(piece, add_special_tokens=False)
+                before = None
                 for i, (word, (a, _)) in enumerate(zip(got.word_ids, got.offsets)):
-                    if i and word != got.word_ids[i - 1] and a > 0:
+                    if i and word != before and a > 0:
                         stops.append(place + a)
                         counts.append(tokens + i)
+                    before = word
             place += len(piece)
             tokens += n
             stops.append(place)
@@ -118,13 +120,14 @@ class TokenCounter:
             numbers = list(map(self.known.get, rest))
         if first and not first[-1].isspace() and None not in numbers:
             return [first, *(f" {p}" for p in rest)], [self._alone(first), *numbers]
-        pieces, last = [first], first
+        joined, last = [[first]], first
         for p in rest:
             if parted(last, p):
-                pieces.append(f" {p}")
+                joined.append([f" {p}"])
             else:
-                pieces[-1] += f" {p}"
+                joined[-1].append(f" {p}")
             last = p
+        pieces = ["".join(some) for some in joined]
         found = [self.known.get(p[1:]) if i and p[:1] == " " and parted(p[1:], p[1:]) else None for i, p in enumerate(pieces)]
         return pieces, [self._alone(p) if n is None else n for p, n in zip(pieces, found)]
 
