@@ -1,8 +1,10 @@
 """Secret scans: every string that might be one, judged by a random forest to remove false findings.
 
-Candidates are long runs of the characters that keys are made of. The forest sees their length, how they
+Candidates are private key blocks, logins within addresses, values of any signs that an assignment to a
+telling name announces, and long runs of the characters that keys are made of, with dots between them too. The
+forest sees their length, how they
 pass from one kind of character to the next and how usual their pairs of letters are, how much of them
-dictionary words cover, whether they are part of a path, and which words stand around them. It is trained
+dictionary words cover, whether they have a provider's form or are part of a path, and which words stand around them. It is trained
 from labelled findings and then written out as an expression, so that documents are scanned, judged and
 redacted row by row, without Python and without moving a text.
 """
@@ -20,8 +22,25 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored
 from tidewatch.llm.words import let, settled, text_of
 
-#: What may be a secret.
-CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
+#: How names end that announce a secret, and an assignment to one.
+NAMES = "pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth"
+ASSIGNED = """[:=][ \\t]{0,2}["'`]?"""
+_PEM = r"[A-Z ]{0,32}PRIVATE KEY(?: BLOCK)?-----"
+#: What may be a secret. Every part is bounded or possessive, so a text is read in time that grows with its length.
+CANDIDATE = "|".join(
+    [
+        rf"-----BEGIN {_PEM}[^-]{{1,16384}}+-----END {_PEM}",
+        r"""(?<=://)[^\s:/@"'<>]{1,64}+:[^\s/@"'<>]{1,128}+(?=@)""",
+        rf"""(?<={ASSIGNED})(?<=(?i:{NAMES})["']?[ \t]{{0,2}}{ASSIGNED})[^\s"'`,;<>()]{{6,512}}+""",
+        r"SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+",
+        r"[A-Za-z0-9_-]{16,}+(?:\.[A-Za-z0-9_-]{16,}+)++",
+        "[A-Za-z0-9+/_-]{16,}+={0,2}",
+    ]
+)
+#: How keys of known providers begin, a private key block, and a login within an address.
+KNOWN = (
+    r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|sk-[A-Za-z0-9]|xox[abprs]-|AIza|SG\.|eyJ[A-Za-z0-9_-]+\.|npm_|ya29\.|-----BEGIN)"
+)
 #: Characters before and after a candidate that count as its neighbours.
 BEFORE, AFTER = 48, 24
 REDACTED = "[SECRET]"
@@ -56,7 +75,7 @@ PAIRS = (
 ).split()
 
 FEATURES = (
-    "length transitions usual_pairs dictionary digits upper distinct in_path key_word decoy_word assigned"
+    "length transitions usual_pairs dictionary digits upper distinct in_path key_word decoy_word assigned known signs"
 ).split()
 
 
@@ -70,7 +89,8 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     kinds = F.translate(candidate, lower + upper + digit, "a" * 26 + "A" * 26 + "0" * 10)
     changes = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
-    pairs = F.filter(F.sequence(F.lit(1), size - 1), lambda i: F.substring(small, i, F.lit(2)).isin(*PAIRS))
+    # each place is looked at once
+    pairs = F.regexp_count(small, F.lit(f"(?={'|'.join(PAIRS)})"))
     uncovered = F.length(F.regexp_replace(small, "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
     near_before, near_after = F.lower(before), F.lower(after)
     neighbours = F.concat_ws(" ", near_before, near_after)
@@ -78,7 +98,7 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
     return F.array(
         size.cast("double"),
         _share(changes, size),
-        _share(F.size(pairs), size - 1),
+        _share(pairs, size - 1),
         _share(size - uncovered, size),
         _share(size - F.length(F.translate(candidate, digit, "")), size),
         _share(size - F.length(F.translate(candidate, upper, "")), size),
@@ -87,16 +107,19 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
         near_before.rlike(KEY_WORDS).cast("double"),
         (neighbours.rlike(DECOY_WORDS) | small.rlike(DECOY_WORDS)).cast("double"),
         before.rlike("[=:]\\s*[\"'`]?$").cast("double"),
+        (candidate.rlike(KNOWN) | before.endswith("://") & candidate.contains(":")).cast("double"),
+        _share(size - F.length(F.regexp_replace(candidate, "[^A-Za-z0-9_-]", "")), size),
     )
 
 
 def labelled_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """Labelled findings (candidate, before, after, label) made for training, at most `rows`.
 
-    Secrets are digests, written in several alphabets, behind the words that announce secrets. False
+    Secrets are digests, written in several alphabets, behind the words that announce secrets; keys in providers'
+    forms, announced or not; passwords behind their names, and logins within addresses. False
     findings are what such scans stumble over: digests that are announced as such, numbers, identifiers and
-    paths made of the words of up to WORD_DOCUMENTS documents (those with the least hashes), placeholders
-    and long words in running text. All of it follows from the row number and those words. A table without
+    paths made of the words of up to WORD_DOCUMENTS documents (those with the least hashes), placeholders,
+    variables and single words behind such names, and long words in running text. All of it follows from the row number and those words. A table without
     documents lends no words; the dictionary takes their place.
     """
     spark = docs.sparkSession
@@ -113,17 +136,33 @@ def labelled_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
 
     word = lambda salt: pick(words, salt)
     coded = F.translate(F.base64(F.unhex("digest")), "=", "")
-    secrets = [
-        F.substring("digest", 1, 40),
-        F.substring("digest", 1, 32),
-        F.col("digest"),
-        coded,
-        F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(coded, "+/", "XY"), 1, 16))),
-        F.concat(F.lit("ghp_"), F.substring(F.translate(coded, "+/", "ab"), 1, 36)),
-        F.concat(F.lit("sk_live_"), F.substring(F.translate(coded, "+/", "cd"), 1, 24)),
+    letters = lambda signs, n: F.substring(F.translate(coded, "+/", signs), 1, n)
+    known = [
+        F.concat(F.lit("AKIA"), F.upper(letters("XY", 16))),
+        F.concat(F.lit("ghp_"), letters("ab", 36)),
+        F.concat(F.lit("sk_live_"), letters("cd", 24)),
+        F.concat(F.lit("AIza"), letters("_-", 35)),
+        F.concat(F.lit("xoxb-"), F.substring(F.translate("digest", "abcdef", "123456"), 1, 12), F.lit("-"), letters("ef", 24)),
+        F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJ"), letters("_-", 40), F.lit("."), F.reverse(letters("_-", 43))),
+        F.concat(F.lit("SG."), letters("_-", 22), F.lit("."), F.reverse(letters("_-", 43))),
+        F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(coded, F.lit("\n")), 6), F.lit("-----END RSA PRIVATE KEY-----")),
+    ]
+    random = [F.substring("digest", 1, 40), F.substring("digest", 1, 32), F.col("digest"), coded, letters("/+", 40)]
+    size = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(9)) + 8
+    signs = F.translate(F.substring("digest", 20, 12), "01234abc", "!@$%^&*.")
+    passwords = [
+        F.substring(F.concat(F.substring(coded, 1, 5), signs), F.lit(1), size.cast("int")),
+        F.concat(F.lower(word(3)), F.substring("digest", 2, 2), pick(["!", "", "#", "?x"], 28)),
+        F.concat(F.initcap(word(3)), pick(["1!", "2024", "99$", "@7"], 28), F.initcap(word(4))),
     ]
+    login = F.concat(F.lower(word(3)), F.lit(":"), F.substring(F.concat(F.substring(coded, 3, 6), signs), F.lit(1), size.cast("int")))
     announced = ['token = "', "secret: ", "password='", 'api_key = "', "API-KEY=", "Authorization: Bearer ", "access_key: ",
                  "client_secret=", 'auth_token: "', 'private_key = "', 'token="', "credentials: "]
+    entry = ['password = "', "PASSWORD=", "pwd: ", "db_password='", "passwd=", 'secret = "', "password: "]
+    schemes = ["postgres://", "mysql://", "amqp://", "https://", "redis://", "mongodb://"]
+    plain, told = F.lit(""), pick(announced, 31)
+    secrets = [(x, told) for x in random + known[:3]] + [(x, plain) for x in known] + [(x, pick(entry, 32)) for x in passwords]
+    secrets.append((login, pick(schemes, 33)))
     sep = pick(["_", "-", "", "/"], 11)
     identifier = F.concat_ws("", word(1), sep, word(2), sep, word(3), sep, word(4), F.lit("_value"))
     falls = [
@@ -137,6 +176,11 @@ def labelled_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
         (F.concat_ws("/", F.lit("usr"), word(1), word(2), word(3)), pick(["see /", "file: /", "../", "token file /"], 17)),
         (F.concat(pick(["your_", "example_", "placeholder_", "dummy_"], 18), word(1), F.lit("_goes_here")), pick(announced, 19)),
         (F.repeat(pick(["x", "0", "-", "_"], 20), 24), pick(announced, 21)),
+        (F.repeat(coded, 12), pick(["", "data:image/png;base64,", 'src="', "content: "], 34)),
+        (F.concat(word(1), F.lit("_"), word(2)), pick(entry, 23)),
+        (F.concat(F.lower(word(1)), pick(["", ".", ":", "!"], 25)), pick(["password: ", "secret: ", "token: ", "auth = "], 24)),
+        (F.concat(pick(["${", "$", "{{", "%"], 26), F.upper(word(1)), pick(["}", "_VAR", "}}", "%"], 26)), pick(entry, 27)),
+        (F.concat_ws(".", F.concat(word(1), F.lit("_"), word(2), word(3)), F.concat(word(4), F.lit("_"), word(5), word(6))), F.concat(word(7), F.lit(" "))),
         (F.concat(F.lower(word(1)), F.lower(word(2)), F.lower(word(3)), F.lower(word(4)), F.lit("ation")), F.concat(word(7), F.lit(" "))),
     ]
     closing = pick(['"', "'", " ", "", "\n"], 22)
@@ -149,12 +193,12 @@ def labelled_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
 
     label = (F.col("id") % 2).cast("double")
     made = numbered.select(
-        F.when(label == 1, chosen(secrets, lambda s: s)).otherwise(chosen(falls, lambda f: f[0])).alias("candidate"),
-        F.when(label == 1, F.concat(lead, pick(announced, 31))).otherwise(F.concat(lead, chosen(falls, lambda f: f[1]))).alias("before"),
+        F.when(label == 1, chosen(secrets, lambda s: s[0])).otherwise(chosen(falls, lambda f: f[0])).alias("candidate"),
+        F.concat(lead, F.when(label == 1, chosen(secrets, lambda s: s[1])).otherwise(chosen(falls, lambda f: f[1]))).alias("before"),
         tail.alias("after"),
         label.alias("label"),
     )
-    return made.where(F.length("candidate") >= 16)
+    return made.where(F.length("candidate") >= 6)
 
 
 def trained(labelled: DataFrame, seed: int = 17) -> RandomForestClassificationModel:
