@@ -279,6 +279,21 @@ oracle("local_days", f"""SELECT CAST(d AS VARCHAR) AS day, starts, ends, (epoch_
 oracle("deadline_calendar", """SELECT flow, at AS due_at, lag(at) OVER w AS previous_at, lead(at) OVER w AS next_at
     FROM fl JOIN oc ON fl.n % 9 = oc.k WHERE cron IS NOT NULL AND d BETWEEN DATE '2024-03-15' AND DATE '2024-07-15'
     WINDOW w AS (PARTITION BY flow ORDER BY at)""")
+_SAME = "make_date(year(d), month(d), 15)"
+oracle("rare_schedules", f"""SELECT * FROM (WITH days AS (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2060-12-31', INTERVAL 1 DAY)) AS DATE) AS d),
+    hits AS (SELECT 0 AS k, d + INTERVAL 7 HOUR AS at FROM days WHERE month(d) = 7 AND day(d) = 1
+      UNION ALL SELECT 1, d + INTERVAL 390 MINUTE FROM days WHERE month(d) = 2 AND day(d) = 29
+      UNION ALL SELECT 3, TIMESTAMP '2020-03-01 08:00:00'
+      UNION ALL SELECT 4, d + INTERVAL 12 HOUR FROM days WHERE d = last_day(d)
+      UNION ALL SELECT 5, d + INTERVAL 9 HOUR FROM days WHERE isodow(d) = 1 AND day(d) BETWEEN 8 AND 14
+      UNION ALL SELECT 6, d + INTERVAL 330 MINUTE FROM days
+        WHERE d = {_SAME} + CAST(CASE isodow({_SAME}) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END AS INTEGER)
+      UNION ALL SELECT 7, d + INTERVAL 4 HOUR FROM days WHERE month(d) = 3 AND isodow(d) = 5 AND day(d) > 24),
+    due AS (SELECT k, at, row_number() OVER (PARTITION BY k ORDER BY at DESC) AS r FROM hits WHERE at <= {AS_OF} - INTERVAL 30 MINUTE)
+    SELECT flow, max(due.at) FILTER (WHERE r = 1) AS due_at, max(due.at) FILTER (WHERE r = 2) AS previous_at,
+      (SELECT min(at) FROM hits WHERE hits.k = fl.n % 8 AND at > {AS_OF}) AS next_at,
+      CASE WHEN fl.n % 8 = 2 THEN 'never occurs' END AS error
+    FROM fl LEFT JOIN due ON due.k = fl.n % 8 GROUP BY flow, fl.n)""")
 CHECK = "TIMESTAMP '2024-01-08 06:00:00'"
 oracle("due_checks", f"""SELECT flow, max(at) FILTER (WHERE r = 1) AS due_at, max(at) FILTER (WHERE r = 2) AS previous_at, min(nx) AS next_at,
     NULL::VARCHAR AS error FROM (

@@ -855,6 +855,25 @@ def due_checks(m):
     return planned.join(due, "schedule_id").select("flow", "due_at", "previous_at", "next_at", "error")
 
 
+# seldom, by rule, in one year only, and never
+RARE = ["0 7 1 7 *", "30 6 29 2 *", "0 0 30 2 *", "0 0 8 1 3 ? 2020", "0 0 12 L * ?", "0 0 9 ? * 2#2", "0 30 5 15W * ?", "0 0 4 ? 3 6L"]
+
+
+@query
+def rare_schedules(m):
+    crons = F.array(*map(F.lit, RARE))
+    at = F.pmod("position", F.lit(len(RARE))).cast("int")
+    planned = m.flows.select(
+        F.col("flow").alias("schedule_id"),
+        F.get(crons, at).alias("cron"),
+        F.when(at < 3, "unix").otherwise("quartz").alias("cron_style"),
+        F.lit("UTC").alias("timezone"),
+        F.array().cast("array<string>").alias("calendar"),
+        F.lit(1800).cast("long").alias("grace_seconds"),
+    )
+    return schedules.around(planned, AS_OF).withColumnRenamed("schedule_id", "flow")
+
+
 @query
 def open_windows(m):
     return schedules.open_windows(m.windows, AS_OF).select(

@@ -179,8 +179,33 @@ def test_every_minute_and_month_end(spark):
     assert rare.due_at == dt.datetime(2028, 2, 29)
 
 
+def test_schedules_rarer_than_a_year(spark):
+    at = lambda cron, now, style="unix", calendar=(): due(spark, cron, style, "UTC", list(calendar), now)
+    yearly = at("0 7 4 2 *", "2026-02-01 00:00:00")
+    assert (yearly.due_at.year, yearly.previous_at.year, yearly.next_at.year) == (2025, 2024, 2026)
+    leap = at("0 7 29 2 *", "2026-02-01 00:00:00")
+    assert (leap.due_at.year, leap.previous_at.year, leap.next_at.year) == (2024, 2020, 2028)
+    workday = at("0 7 29 2 *", "2026-02-01 00:00:00", calendar=["se"])
+    assert (workday.due_at.year, workday.previous_at.year, workday.next_at.year) == (2024, 2016, 2028)
+    assert at("0 7 25 12 *", "2026-02-01 00:00:00", calendar=["se"]).error == schedules.NO_BUSINESS_DAY
+    once = at("0 0 7 1 1 ? 2030", "2026-02-01 00:00:00", "quartz")
+    assert (once.due_at, once.next_at, once.error) == (None, dt.datetime(2030, 1, 1, 7), None)
+
+
+def test_days_named_by_rule(spark):
+    day = lambda cron, style="quartz": due(spark, cron, style, "UTC", [], "2026-06-30 23:00:00").due_at.date()
+    assert day("0 0 7 L * ?") == dt.date(2026, 6, 30)
+    assert day("0 0 7 LW 5 ?") == dt.date(2026, 5, 29)
+    assert day("0 0 7 1W 8 ?") == dt.date(2025, 8, 1)
+    assert day("0 0 7 1W 2 ?") == dt.date(2026, 2, 2)
+    assert day("0 0 7 31W 5 ?") == dt.date(2026, 5, 29)
+    assert day("0 0 7 ? 6 6#1") == day("0 7 * 6 fri#1", "unix") == dt.date(2026, 6, 5)
+    assert day("0 0 7 ? 6 1L") == day("0 7 * 6 0L", "unix") == day("0 7 * 6 7L", "unix") == dt.date(2026, 6, 28)
+    assert day("5 0 7 * 6 *", "unix") == dt.date(2026, 6, 30)
+
+
 def test_what_a_cron_may_not_say(spark):
-    for cron in ("61 * * * *", "0 7 * *", "0 7 L * *", "0 7 * * 5-1", "a * * * *", "*/0 * * * *"):
+    for cron in ("61 * * * *", "0 7 * *", "0 7 32W * *", "0 7 1,x * *", "0 7 L,x * *", "0 7 * * 5-1", "0 7 30 2 *", "0 0 7 1 1 ? 1960", "a * * * *", "*/0 * * * *"):
         assert due(spark, cron, "unix", "UTC", [], "2026-03-01 00:00:00").error is not None
 
 
