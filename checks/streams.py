@@ -132,15 +132,15 @@ oracle("streamed_minute_counts", "SELECT * FROM mi WHERE minute < (SELECT date_t
 oracle("streamed_settled_export", """SELECT id, flow, at FROM ev WHERE id < coalesce((SELECT min(id) FROM ev
     WHERE recorded_at > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 1 MINUTE), 9223372036854775807)""")
 oracle("streamed_absence", """SELECT flow, make_timestamp(due // 1000 * 1000) AS due_at, state, since FROM (
-    SELECT flow, epoch_us(last_ok) + (every_seconds + 1800) * 1000000 AS due, 'late' AS state, last_ok AS since FROM lasts JOIN fl USING (flow)
-    UNION ALL SELECT flow, epoch_us(last_at) + 7200000000, 'failed', last_at FROM lasts JOIN fl USING (flow)
-        WHERE kind = 'heartbeat' AND last_outcome = 'start')
-    WHERE due // 1000 < (SELECT epoch_us(max(ts)) // 1000 FROM events)""".replace("lasts", """(SELECT flow, max(at) FILTER (WHERE outcome = 'ok') AS last_ok,
-        max(at) AS last_at, max_by(outcome, (at, id)) AS last_outcome FROM ev GROUP BY 1)"""))
+    SELECT flow, epoch_us(at) + (every_seconds + 1800) * 1000000 AS due, 'late' AS state, at AS since, next FROM (
+        SELECT flow, at, lead(at) OVER (PARTITION BY flow ORDER BY at) AS next FROM ev WHERE outcome = 'ok') JOIN fl USING (flow)
+    UNION ALL SELECT flow, epoch_us(at) + 7200000000, 'failed', at, next FROM (
+        SELECT flow, at, outcome, lead(at) OVER (PARTITION BY flow ORDER BY at, id) AS next FROM ev) JOIN fl USING (flow)
+        WHERE kind = 'heartbeat' AND outcome = 'start')
+    WHERE CASE WHEN next IS NULL THEN due // 1000 < (SELECT epoch_us(max(ts)) // 1000 FROM events) ELSE due < epoch_us(next) END""")
 oracle("streamed_file_arrivals", "SELECT flow, first_seen AS at, name AS detail, size::DOUBLE AS bytes, poll_at FROM se WHERE arrived")
 oracle("streamed_alerts", f"{WALK} /* recursive */ SELECT id, flow, at, state, decision FROM dec WHERE decision IN ('alert', 'recovery')")
-LATEST = f"""(SELECT flow, table_name, max(changed_at) AS at, max_by(change, changed_at) AS change FROM {CHANGES}
-    WHERE change IS NOT NULL GROUP BY 1, 2)"""
-oracle("streamed_schema_changes", f"""SELECT flow, table_name, at, change, TRUE AS shown FROM {LATEST}
-    UNION ALL SELECT flow, table_name, at + INTERVAL 1 DAY, change, FALSE FROM {LATEST}
-    WHERE at + INTERVAL 1 DAY <= (SELECT max(at) FROM {LATEST})""")
+CHANGED = f"(SELECT flow, table_name, changed_at AS at, change FROM {CHANGES} WHERE change IS NOT NULL)"
+oracle("streamed_schema_changes", f"""SELECT flow, table_name, at, change, TRUE AS shown FROM {CHANGED}
+    UNION ALL SELECT flow, table_name, at + INTERVAL 1 DAY, change, FALSE FROM {CHANGED}
+    WHERE at + INTERVAL 1 DAY <= (SELECT max(at) FROM {CHANGED})""")

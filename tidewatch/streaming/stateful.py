@@ -1,9 +1,8 @@
 """Flow state kept in a stream: absence, settling files, alerts and short-lived warnings.
 
-State is kept per flow, or per file of a flow, in RocksDB. Run reports may come in any order
-within a batch: absence keeps only the latest of each kind, so no batch of a flow is ever
-collected or sorted. Listings and evaluations are one row per file or flow and tick; a
-trigger's few rows of one key are put in order.
+State is kept per flow, or per file of a flow, in RocksDB. Results do not depend on how rows fall
+into batches, as long as none comes after the watermark has passed it. A trigger's rows of one key
+are put in order; changes of tables need no order.
 """
 
 from __future__ import annotations
@@ -40,49 +39,61 @@ def _as_instants(rows: DataFrame, *names: str) -> DataFrame:
 
 
 class Absence(StatefulProcessor):
-    """Raises late and still-running flows when time passes without a report."""
+    """Raises late and still-running flows once for each gap that time or a later report shows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState(
             "seen",
-            "last_ok long, at long, id long, running boolean, expected long, max_runtime long",
+            "last_ok long, at long, id long, running boolean, expected long, max_runtime long,"
+            " late_said boolean, stuck_said boolean",
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.seen.get() if self.seen.exists() else (None, None, -1, False, 0, None)
-        last_ok, at, number, running, expected, max_runtime = old
-        for row in rows:
+        old = self.seen.get() if self.seen.exists() else (None, None, -1, False, 0, None, False, False)
+        last_ok, at, number, running, expected, max_runtime, late_said, stuck_said = old
+        found = []
+        for row in sorted(rows, key=lambda r: (r.at_us, r.id)):
+            for due, state, since in self._deadlines(last_ok, at, running, expected, max_runtime, late_said, stuck_said):
+                if due < row.at_us:
+                    found.append(self._raised(key, due, state, since))
+                    late_said, stuck_said = late_said or state == "late", stuck_said or state == "failed"
             expected, max_runtime = row.expected_seconds, row.max_runtime_s
             if row.outcome == "ok" and (last_ok is None or row.at_us > last_ok):
-                last_ok = row.at_us
+                last_ok, late_said = row.at_us, False
             if at is None or (row.at_us, row.id) > (at, number):
-                at, number, running = row.at_us, row.id, row.outcome == "start"
-        self.seen.update((last_ok, at, number, running, expected, max_runtime))
+                at, number, running, stuck_said = row.at_us, row.id, row.outcome == "start", False
+        self.seen.update((last_ok, at, number, running, expected, max_runtime, late_said, stuck_said))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        for due in self._deadlines(last_ok, at, running, expected, max_runtime):
+        for due, _, _ in self._deadlines(last_ok, at, running, expected, max_runtime, late_said, stuck_said):
             self.handle.registerTimer(due // 1000)
-        return iter(())
+        return iter(found)
 
     @staticmethod
-    def _deadlines(last_ok, at, running, expected, max_runtime) -> list[int]:
+    def _deadlines(last_ok, at, running, expected, max_runtime, late_said, stuck_said) -> list[tuple[int, str, int]]:
+        """What is still to be said if no report comes: when, which state, and since when."""
         found = []
-        if last_ok is not None:
-            found.append(last_ok + expected * SECOND)
-        if running and max_runtime is not None:
-            found.append(at + max_runtime * SECOND)
+        if last_ok is not None and not late_said:
+            found.append((last_ok + expected * SECOND, "late", last_ok))
+        if running and max_runtime is not None and not stuck_said:
+            found.append((at + max_runtime * SECOND, "failed", at))
         return found
 
+    @staticmethod
+    def _raised(key, due: int, state: str, since: int) -> Row:
+        # timers have whole milliseconds
+        return Row(flow=key[0], due_at=due // 1000 * 1000, state=state, since=since)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last_ok, at, _, running, _, max_runtime = self.seen.get()
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        stuck = running and max_runtime is not None
-        if stuck and due == (at + max_runtime * SECOND) // 1000:
-            state, since = "failed", at
-        else:
-            state, since = "late", last_ok
-        yield Row(flow=key[0], due_at=due * 1000, state=state, since=since)
+        held = list(self.seen.get())
+        last_ok, at, _, running, expected, max_runtime, late_said, stuck_said = held
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for due, state, since in self._deadlines(last_ok, at, running, expected, max_runtime, late_said, stuck_said):
+            if due // 1000 == now:
+                held[6 if state == "late" else 7] = True
+                yield self._raised(key, due, state, since)
+        self.seen.update(tuple(held))
 
     def close(self) -> None:
         pass
@@ -93,6 +104,8 @@ def absence(reports: DataFrame, time_mode: str = "ProcessingTime") -> DataFrame:
 
     ``expected_seconds`` is the interval and the grace. Processing time raises a flow even when
     nothing at all arrives any more; event time needs a watermark on ``at`` and can be replayed.
+    Each gap between neighbouring reports that is too long gives one row, and so does the open one
+    after the last report.
     """
     prepared(reports.sparkSession)
     raised = _as_micros(reports, "at").groupBy("flow").transformWithState(
@@ -224,34 +237,32 @@ def alerting(stream: DataFrame) -> DataFrame:
 
 
 class Fresh(StatefulProcessor):
-    """Holds a table's latest change until it is a day old, then takes it back."""
+    """Shows each change of a table, and takes it back when it is a day old."""
 
     def __init__(self, shown_seconds: int) -> None:
         self.shown = shown_seconds * SECOND
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "changed_at long, change string")
+        # changes by the millisecond they are taken back in, numbered within it
+        self.held = handle.getMapState("held", "due long, number int", "changed_at long, change string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.latest.get() if self.latest.exists() else None
-        newest = None if held is None else (held[0], held[1])
         for row in rows:
-            if newest is None or row.changed_at_us > newest[0]:
-                newest = (row.changed_at_us, row.change)
-        if held is None or newest[0] != held[0]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((newest[0] + self.shown) // 1000)
-            self.latest.update(newest)
-            yield Row(flow=key[0], table_name=key[1], at=newest[0], change=newest[1], shown=True)
+            due, number = (row.changed_at_us + self.shown) // 1000, 0
+            while self.held.containsKey((due, number)):
+                number += 1
+            self.held.updateValue((due, number), (row.changed_at_us, row.change))
+            self.handle.registerTimer(due)
+            yield Row(flow=key[0], table_name=key[1], at=row.changed_at_us, change=row.change, shown=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        changed_at, change = self.latest.get()
-        self.latest.clear()
-        yield Row(
-            flow=key[0], table_name=key[1], at=changed_at + self.shown, change=change, shown=False
-        )
+        due, number = expiredTimerInfo.getExpiryTimeInMs(), 0
+        while self.held.containsKey((due, number)):
+            changed_at, change = self.held.getValue((due, number))
+            self.held.removeKey((due, number))
+            number += 1
+            yield Row(flow=key[0], table_name=key[1], at=changed_at + self.shown, change=change, shown=False)
 
     def close(self) -> None:
         pass
