@@ -87,7 +87,8 @@ oracle("gauges", f"""SELECT 'flow_state' AS gauge, flow, kind, owner, state, 1::
 
 oracle("flow_list", "SELECT flow, kind, source FROM fl WHERE kind = 'heartbeat' AND lower(source) LIKE '%source 1%'")
 oracle("glob_matches", """SELECT page_id, pattern FROM pages,
-    (SELECT unnest(['*/fr/*', 'https://m.*', 'http://*[0-4]', '*?[!a-z]?age=*']) AS pattern) WHERE url GLOB pattern""")
+    (SELECT unnest(['*/fr/*', 'https://m.*', 'http://*[0-4]', '*?[!a-z]?age=*', '*[?]*', '*[/]?r[/]*', '*[!0-9]', '[abc*', '*[*]*']) AS pattern)
+    WHERE url GLOB pattern""")
 oracle("valid_ids", """SELECT p_partkey, regexp_full_match(p_name, '[a-z0-9._-]{1,64}') AS name_ok,
     regexp_full_match(lower(replace(p_brand, '#', '-')), '[a-z0-9._-]{1,64}') AS brand_ok FROM part""")
 oracle("unacknowledged_attention", "SELECT flow, state FROM es WHERE state IN ('warning', 'late', 'failed') AND flow NOT IN (SELECT flow FROM as_)")
@@ -312,6 +313,16 @@ oracle("open_windows", "SELECT name, opened_at, closes_at, is_open, next_opening
 oracle("status_classes", "SELECT flow, round(count(*) FILTER (WHERE status >= 500)::DOUBLE / count(*), 9) AS rate FROM cl GROUP BY 1")
 
 oracle("state_evaluation", "SELECT flow, kind, state, detail, last_ok FROM es")
+oracle("polled_state_evaluation", "SELECT flow, kind, state, detail, last_ok FROM pe")
+oracle("polled_state_from_history", """SELECT flow, last_ok, CASE WHEN run.outcome = 'start' THEN run.at END AS running_since, problem, check_warning
+    FROM (SELECT flow, max(ok) AS last_ok, max_by({'outcome': outcome, 'at': at}, (at, id)) FILTER (WHERE outcome IS NOT NULL) AS run,
+        max_by({'v': problem}, (at, rank, coalesce(id, 0))) FILTER (WHERE rank IS NOT NULL).v AS problem,
+        max_by({'v': warning}, at) FILTER (WHERE rank = 1).v AS check_warning
+    FROM (SELECT flow, at, CASE WHEN outcome <> 'start' THEN 0 END AS rank, id, outcome, CASE WHEN outcome = 'fail' THEN detail END AS problem,
+            NULL AS warning, CASE WHEN outcome = 'ok' THEN at END AS ok FROM ev WHERE id % 2 = 0
+        UNION ALL SELECT flow, at, 1, NULL, NULL, problem, nullif(concat_ws('; ', warning, CASE WHEN id % 4 = 0 THEN 'schema of x changed: +y' END), ''),
+            CASE WHEN problem IS NULL THEN at END FROM pc WHERE id % 2 = 1)
+    WHERE at <= TIMESTAMP '2024-01-20' GROUP BY flow)""")
 oracle("state_from_history", """SELECT flow, max(at) FILTER (WHERE outcome = 'ok') AS last_ok,
     CASE WHEN max_by(outcome, (at, id)) = 'start' THEN max(at) END AS running_since,
     CASE WHEN max_by(outcome, (at, id)) FILTER (WHERE outcome <> 'start') = 'fail'
@@ -397,5 +408,10 @@ oracle("catalogue_violations", f"""{BENT} /* recursive */ SELECT flow AS subject
     UNION SELECT flow, 'owner owner-4 is not known' FROM fl WHERE owner = 'owner-4'
     UNION SELECT flow, 'after refers to unknown flow gone' FROM fl WHERE n = 20
     UNION SELECT flow, 'cron or calendar not understood' FROM fl WHERE n = 30
+    UNION SELECT flow, 'no such time zone: Nowhere/At_All' FROM fl WHERE n = 31
+    UNION SELECT 'window-2', 'no such time zone: Mars/Crater'
+    UNION SELECT 'window-3', 'pattern api-[!1: a bracket is not closed'
+    UNION SELECT 'window-3', 'pattern x**: stars in a row must be a path component of their own'
+    UNION SELECT DISTINCT owner, 'not an email address: nobody at home' FROM fl WHERE owner = 'owner-3'
     UNION SELECT 'window-4', 'lasts must be longer than zero'
     UNION SELECT a, 'after goes round in a circle' FROM reach WHERE b IN (SELECT a FROM reach WHERE a = b)""")

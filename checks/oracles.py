@@ -37,6 +37,7 @@ K = "CAST(regexp_extract(props, '([0-9.]+)', 1) AS DOUBLE)"
 STATUS = "CASE event_type WHEN 'error' THEN 503 WHEN 'view' THEN 404 ELSE 200 END"
 MEASURED = "state NOT IN ('pending', 'maintenance')"
 UP = "state IN ('ok', 'warning')"
+POLLED = "('http', 'sftp', 'storage', 'delta')"
 
 VIEWS: dict[str, str] = {
     "ev": f"""SELECT event_id AS id, 'flow-' || (user_id % 50) AS flow, ts AS at,
@@ -293,6 +294,14 @@ VIEWS: dict[str, str] = {
                 ELSE {label("(next_at + INTERVAL 30 MINUTE)")} END END END AS detail
         FROM (SELECT *, (epoch_us({AS_OF}) - epoch_us(last_ok)) // 1000000 AS age FROM fl LEFT JOIN st USING (flow)) fl
         LEFT JOIN du USING (flow) LEFT JOIN an USING (flow) LEFT JOIN jw USING (flow)""",
+    # reports of some kinds and polls of others
+    "ps": f"""SELECT flow, last_ok, running_since, problem, NULL::VARCHAR AS check_warning FROM st JOIN fl USING (flow) WHERE kind NOT IN {POLLED}
+        UNION ALL SELECT flow, last_ok, NULL, problem, nullif(concat_ws('; ', warning,
+            CASE WHEN id % 4 = 0 THEN 'schema of x changed: +y' END), '') FROM (
+        SELECT *, row_number() OVER (PARTITION BY flow ORDER BY at DESC) AS r,
+            max(CASE WHEN problem IS NULL THEN at END) OVER (PARTITION BY flow) AS last_ok
+        FROM pc WHERE at <= {AS_OF}) JOIN fl USING (flow) WHERE r = 1 AND kind IN {POLLED}""",
+    "pn": f"SELECT an.* FROM an JOIN fl USING (flow) WHERE kind NOT IN {POLLED}",
     # the latest change of each flow as its own state, and what waits on what
     "os": """SELECT flow, n, upstream, state, 'own ' || state AS detail FROM fl
         JOIN (SELECT flow, max_by(state, (at, id)) AS state FROM sc GROUP BY flow) USING (flow)
@@ -310,6 +319,16 @@ VIEWS: dict[str, str] = {
 }
 
 
+# the same judgement over both
+VIEWS["pe"] = (
+    VIEWS["es"]
+    .replace("JOIN st ", "JOIN ps ")
+    .replace("JOIN an ", "JOIN pn ")
+    .replace("WHEN anomaly IS NOT NULL", "WHEN check_warning IS NOT NULL OR anomaly IS NOT NULL")
+    .replace("concat_ws('; ', anomaly", "concat_ws('; ', check_warning, anomaly")
+)
+
+
 def _uses(body: str) -> list[str]:
     words = set(re.findall(r"[a-z_0-9]+", body))
     return [n for n in VIEWS if n in words]

@@ -202,7 +202,7 @@ def _probe_reports(m):
         "schema_warnings", F.expr("if(id % 4 = 0, array('schema of x changed: +y'), null)")
     )
     ok = rows.where("problem IS NULL").select(
-        "flow", "at", F.col("success_detail").alias("detail"), F.col("millis").cast("int").alias("millis"),
+        "id", "flow", "at", F.col("success_detail").alias("detail"), F.col("millis").cast("int").alias("millis"),
         F.lit(None).cast("map<string,double>").alias("metrics"),
     )
     return polls, ok
@@ -279,7 +279,7 @@ def flow_list(m):
 
 @query
 def glob_matches(m):
-    patterns = ["*/fr/*", "https://m.*", "http://*[0-4]", "*?[!a-z]?age=*"]
+    patterns = ["*/fr/*", "https://m.*", "http://*[0-4]", "*?[!a-z]?age=*", "*[?]*", "*[/]?r[/]*", "*[!0-9]", "[abc*", "*[*]*"]
     pages = m.table("pages").select("page_id", "url")
     rows = pages.withColumn("pattern", F.explode(F.array(*map(F.lit, patterns))))
     return rows.where(scalars.glob_match(F.col("url"), F.col("pattern"))).select(
@@ -348,12 +348,19 @@ def catalogue_violations(m):
             "after": F.expr("""CASE position WHEN 1 THEN array('flow-3') WHEN 20 THEN array('gone')
                                ELSE after END"""),
             "cron": F.expr("if(position = 30, '0 25 * * *', cron)"),
-            "timezone": F.coalesce("timezone", F.lit(ZONE)),
+            "timezone": F.expr(f"if(position = 31, 'Nowhere/At_All', coalesce(timezone, '{ZONE}'))"),
         }
     )
     twice = bent.unionByName(bent.where("position = 40"))
-    windows = m.windows.withColumn("lasts_seconds", F.expr("if(name = 'window-4', 0L, lasts_seconds)"))
-    return catalogue.violations(twice, m.owners, windows)
+    windows = m.windows.withColumns(
+        {
+            "lasts_seconds": F.expr("if(name = 'window-4', 0L, lasts_seconds)"),
+            "patterns": F.expr("if(name = 'window-3', array('api-[!1', 'x**', '[*]'), patterns)"),
+            "timezone": F.expr("if(name = 'window-2', 'Mars/Crater', timezone)"),
+        }
+    )
+    owners = m.owners.withColumn("email", F.expr("if(owner = 'owner-3', array('a@b.se', 'nobody at home'), email)"))
+    return catalogue.violations(twice, owners, windows)
 
 
 # joins
@@ -898,6 +905,26 @@ def state_evaluation(m):
     return _judged(m).select("flow", "kind", "state", "detail", "last_ok")
 
 
+@query
+def polled_state_evaluation(m):
+    """Flows that report and flows that are polled, judged together."""
+    asked = F.col("kind").isin("http", "sftp", "storage", "delta")
+    polled_flows = m.flows.where(asked).select("flow")
+    polls, ok = _probe_reports(m)
+    rows = status.evaluated(
+        m.flows, m.events.join(polled_flows, "flow", "left_anti"), m.minutes, m.costs, AS_OF, ZONE,
+        polls.join(polled_flows, "flow"), ok.join(polled_flows, "flow"),
+    )
+    return rows.select("flow", "kind", "state", "detail", "last_ok")
+
+
+@query
+def polled_state_from_history(m):
+    """Reports and polls of the same flows in one fold."""
+    polls, ok = (rows.where("id % 2 = 1") for rows in _probe_reports(m))
+    return state.folded(m.events.where("id % 2 = 0"), polls, ok, "2024-01-20 00:00:00")
+
+
 @query
 def state_from_history(m):
     return state.replayed(m.events, "2024-01-20 00:00:00")

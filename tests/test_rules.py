@@ -77,6 +77,27 @@ def test_slug(spark, name, slug):
         ("[!a]b", "ab", False),
         ("a_c%", "abcd", False),
         ("a(b)|c", "a(b)|c", True),
+        ("[*]x", "*x", True),
+        ("[*]x", "ax", False),
+        ("[?]", "?", True),
+        ("[?]", "a", False),
+        ("[abc", "[abc", False),
+        ("[]", "[]", False),
+        ("[]]", "]", True),
+        ("[!]]x", "ax", True),
+        ("a[d-b]e", "ace", False),
+        ("[!d-b]", "c", True),
+        ("[^a]", "^", True),
+        ("[a-]", "-", True),
+        ("[a&&b]", "&", True),
+        ("**/x", "a/b/x", True),
+        ("**/x", "x", True),
+        ("**/x", "bx", False),
+        ("a/**/c", "a/c", True),
+        ("a**b", "axb", False),
+        ("***", "x", False),
+        ("å[åä]?", "åä😀", True),
+        ("a\\b*", "a\\b\nc", True),
     ],
 )
 def test_glob(spark, pattern, name, hit):
@@ -85,7 +106,9 @@ def test_glob(spark, pattern, name, hit):
 
 @pytest.mark.parametrize(
     ("text", "seconds"),
-    [("90s", 90), ("15m", 900), ("1h 30m", 5400), ("2days", 172800), ("5", None), ("3 apples", None)],
+    [("90s", 90), ("15m", 900), ("1h 30m", 5400), ("2days", 172800), ("5", None), ("3 apples", None),
+     ("1h30m", 5400), ("1M", 2630016), ("2 years", 63115200), ("1500ms", 1), ("600ms 400 ms 5us", 1), ("2wk", 1209600),
+     ("1m 1M", 2630076), ("99999999999999999999s", None), ("9000000000000000000y", None), ("", None)],
 )
 def test_durations(spark, text, seconds):
     assert value(spark, scalars.duration_seconds(F.lit(text))) == seconds

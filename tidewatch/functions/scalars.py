@@ -90,17 +90,73 @@ def valid_id(name: Column) -> Column:
     return F.coalesce(name.rlike(r"\A[a-z0-9._-]{1,64}\z"), F.lit(False))
 
 
+#: One part of a glob: whole path components, stars, one character, a class, or a letter.
+GLOB_PART = r"(?s)(?<![^/])\*\*(?:/|\z)|\*+|\?|\[!.[^\]]*\]|\[[^!][^\]]*\]|."
+
+
+def _glob_class(part: Column) -> Column:
+    """A class such as ``[a-z_]`` or ``[!0-9]``, every letter of it by its number.
+
+    A range that runs backwards holds nothing.
+    """
+    negated = part.startswith("[!")
+    first = F.when(negated, 3).otherwise(2)
+    inside = F.substring(part, first, F.length(part) - first)
+    spans = F.regexp_extract_all(inside, F.lit("(?s).-.|."), F.lit(0))
+    low = lambda x: F.ascii(x)
+    high = lambda x: F.ascii(F.right(x, F.lit(1)))
+    number = lambda n: F.concat(F.lit(r"\x{"), F.hex(n), F.lit("}"))
+    kept = F.filter(spans, lambda x: low(x) <= high(x))
+    text = F.array_join(
+        F.transform(kept, lambda x: F.concat(number(low(x)), F.lit("-"), number(high(x)))), ""
+    )
+    some = F.concat(F.when(negated, "[^").otherwise("["), text, F.lit("]"))
+    none = F.when(negated, r"[\s\S]").otherwise("(?!)")
+    return F.when(text == "", none).otherwise(some)
+
+
+def _glob_piece(part: Column) -> Column:
+    return (
+        F.when(part == "**/", r"(?:[\s\S]*/)?")
+        .when(part.startswith("*"), r"[\s\S]*")
+        .when(part == "?", r"[\s\S]")
+        .when(F.length(part) > 1, _glob_class(part))
+        .otherwise(F.concat(F.lit(r"\x{"), F.hex(F.ascii(part)), F.lit("}")))
+    )
+
+
+def glob_error(pattern: Column) -> Column:
+    """Why a pattern is none: an open ``[``, or stars in a row that are no path component."""
+    parts = F.regexp_extract_all(pattern, F.lit(GLOB_PART), F.lit(0))
+    last = F.try_element_at(parts, F.lit(-1))
+    # what is no class leaves its bracket behind as a single letter
+    open_class = F.exists(parts, lambda x: x == "[")
+    inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    stars = F.exists(inner, lambda x: x.rlike(r"\A\*\*+\z")) | F.coalesce(
+        last.rlike(r"\A\*\*+\z") & ~pattern.rlike(r"(?s)(?:\A|/)\*\*\z"), F.lit(False)
+    )
+    return F.when(open_class, "a bracket is not closed").when(
+        stars, "stars in a row must be a path component of their own"
+    )
+
+
 def glob_regex(pattern: Column) -> Column:
-    """An anchored regular expression for a glob with ``*``, ``?``, ``[…]`` and ``[!…]``."""
-    escaped = F.regexp_replace(pattern, r"([\\.^$+(){}|])", r"\\$1")
-    negated = F.regexp_replace(escaped, r"\[!", "[^")
-    wide = F.regexp_replace(negated, r"\*", "[\\\\s\\\\S]*")
-    single = F.regexp_replace(wide, r"\?", "[\\\\s\\\\S]")
-    return F.concat(F.lit("\\A"), single, F.lit("\\z"))
+    """An anchored regular expression for a glob; null for what is none.
+
+    ``*`` and ``?`` stand for any text and any character, ``[…]`` and ``[!…]`` for one of a
+    class, in which ``*``, ``?`` and ``[`` mean themselves; ``**/`` for any folders or none.
+    """
+    parts = F.regexp_extract_all(pattern, F.lit(GLOB_PART), F.lit(0))
+    made = F.concat(
+        F.lit("\\A"), F.array_join(F.transform(parts, _glob_piece), ""), F.lit("\\z")
+    )
+    return F.when(glob_error(pattern).isNull(), made)
 
 
 def glob_match(name: Column, pattern: Column) -> Column:
-    return F.regexp_like(name, glob_regex(pattern))
+    """Whether a glob matches a whole name; a pattern that is none matches nothing."""
+    hit = F.regexp_like(name, glob_regex(pattern))
+    return F.when(name.isNotNull() & pattern.isNotNull(), F.coalesce(hit, F.lit(False)))
 
 
 def glob_stem(pattern: Column) -> Column:
@@ -137,32 +193,42 @@ def rank_in(value: Column, order: list[str]) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """Whole seconds of ``90s``, ``15m``, ``1h 30m`` or ``2days``; null when it is none."""
-    # fixed values: unit names and their seconds
-    units = {
-        "s": ("s", "sec", "secs", "second", "seconds"),
-        "m": ("m", "min", "mins", "minute", "minutes"),
-        "h": ("h", "hr", "hrs", "hour", "hours"),
-        "d": ("d", "day", "days"),
-        "w": ("w", "week", "weeks"),
+    """Whole seconds of ``90s``, ``15m``, ``1h30m``, ``2days`` or ``1M``; null when it is none.
+
+    Parts below a second are added up before they are cut off. What no long holds is null too.
+    """
+    # fixed values: unit names and their nanoseconds or seconds; a month is 30.44 days, a year 365.25
+    small = {
+        1: ("nanos", "nsec", "ns"),
+        1_000: ("micros", "usec", "us"),
+        1_000_000: ("millis", "msec", "ms"),
     }
-    sizes = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
-    names = "|".join(n for group in units.values() for n in group)
-    token = rf"([0-9]+)\s*({names})"
-    parts = F.regexp_extract_all(text, F.lit(rf"{token}(?![a-z])"), F.lit(0))
-
-    def size(part: Column) -> Column:
-        unit = F.regexp_extract(part, "([a-z]+)", 1)
-        amount = F.regexp_extract(part, "([0-9]+)", 1).try_cast("long")
-        worth = F.lit(None).cast("long")
-        for key, group in units.items():
-            worth = F.when(unit.isin(*group), F.lit(sizes[key])).otherwise(worth)
-        return amount * worth
-
-    total = F.aggregate(
-        F.transform(parts, size), F.lit(0).cast("long"), lambda a, b: a + b
-    )
-    return F.when(F.rlike(text, F.lit(rf"\A\s*({token}\s*)+\z")), total)
+    whole = {
+        1: ("seconds", "second", "secs", "sec", "s"),
+        60: ("minutes", "minute", "mins", "min", "m"),
+        3_600: ("hours", "hour", "hrs", "hr", "h"),
+        86_400: ("days", "day", "d"),
+        604_800: ("weeks", "week", "wks", "wk", "w"),
+        2_630_016: ("months", "month", "M"),
+        31_557_600: ("years", "year", "yrs", "yr", "y"),
+    }
+    names = "|".join(n for units in (small, whole) for group in units.values() for n in group)
+    token = rf"([0-9]+)\s*({names})(?![a-zA-Z])"
+    parts = F.regexp_extract_all(text, F.lit(token), F.lit(0))
+
+    def total(units: dict[int, tuple[str, ...]]) -> Column:
+        def size(part: Column) -> Column:
+            unit = F.regexp_extract(part, "([a-zA-Z]+)", 1)
+            amount = F.regexp_extract(part, "([0-9]+)", 1).try_cast("long")
+            worth = F.lit(0).cast("long")
+            for each, group in units.items():
+                worth = F.when(unit.isin(*group), F.lit(each).cast("long")).otherwise(worth)
+            return F.try_multiply(amount, worth)
+
+        return F.aggregate(F.transform(parts, size), F.lit(0).cast("long"), F.try_add)
+
+    seconds = F.try_add(total(whole), int_div(total(small), F.lit(1_000_000_000)))
+    return F.when(F.rlike(text, F.lit(rf"\A\s*({token}\s*)+\z")), seconds)
 
 
 def trimmed_list(text: Column) -> Column:
@@ -170,9 +236,15 @@ def trimmed_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def known_zone(zone: Column) -> Column:
+    """The zone, or null where there is none of that name; no bad name ends a job."""
+    parts = [F.lit(n) for n in (2000, 1, 1, 0, 0, 0)]
+    return F.when(F.try_make_timestamp(*parts, zone).isNotNull(), zone)
+
+
 def local_label(at: Column, zone: Column | str) -> Column:
-    """``fri 25 sep 07:30 cest``: an instant in a zone, lower-cased."""
-    zone = F.lit(zone) if isinstance(zone, str) else zone
+    """``fri 25 sep 07:30 cest``: an instant in a zone, lower-cased; UTC for a zone that there is not."""
+    zone = F.lit(zone) if isinstance(zone, str) else F.coalesce(known_zone(zone), F.lit("UTC"))
     local = F.from_utc_timestamp(at, zone)
     # fixed values: winter and summer abbreviations of the zones in use
     names = {

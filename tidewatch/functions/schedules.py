@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.business_days import holidays
-from tidewatch.functions.scalars import plus_seconds
+from tidewatch.functions.scalars import known_zone, plus_seconds
 
 # fixed values: month and weekday names
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -62,7 +62,17 @@ def _numbers(index: int, low: int, high: int, names: list[str], base: int) -> st
 
 
 def parsed(schedules: DataFrame) -> DataFrame:
-    """Adds the field values, ``valid``, and the seconds of the day it fires at."""
+    """Adds the field values, ``valid``, and the seconds of the day it fires at.
+
+    A time zone that there is not goes to ``bad_zone`` and UTC stands in its place.
+    """
+    there = known_zone(F.col("timezone"))
+    schedules = schedules.withColumns(
+        {
+            "bad_zone": F.when(there.isNull(), F.col("timezone")),
+            "timezone": F.coalesce(there, F.lit("UTC")),
+        }
+    )
     sets = ["_second", "_minute", "_hour", "_dom", "_month", "_dow", "_year"]
     rules = {"_dom": "_dom_rules", "_dow": "_dow_rules"}
     fields = "split(trim(cron), '\\\\s+')"
@@ -103,7 +113,7 @@ def parsed(schedules: DataFrame) -> DataFrame:
                 "array_distinct(transform(_dow, d -> if(cron_style = 'quartz', d - 1, d % 7)))"
             ),
             "valid": F.expr(
-                f"""size(_fields) IN (6, if(cron_style = 'quartz', 7, 6)) AND {filled}
+                f"""bad_zone IS NULL AND size(_fields) IN (6, if(cron_style = 'quartz', 7, 6)) AND {filled}
                     AND forall(calendar, c -> c IN ('se', 'fi'))"""
             ),
             "_times": F.expr(
@@ -225,6 +235,8 @@ def around(schedules: DataFrame, as_of: str) -> DataFrame:
     nth = lambda n: F.max(F.when(F.col("_due") & (F.col("_n") == n), F.col("at")))
     counted = F.max(F.when(past, F.col("counts")))
     error = F.when(
+        F.max("bad_zone").isNotNull(), F.concat(F.lit("no such time zone: "), F.max("bad_zone"))
+    ).when(
         ~F.min("valid"), F.concat(F.lit('cron "'), F.max("cron"), F.lit('"'))
     ).when(F.count("day") == 0, F.lit(NO_OCCURRENCE)).when(~counted, F.lit(NO_BUSINESS_DAY))
     return fired.groupBy("schedule_id").agg(

@@ -41,6 +41,65 @@ def replayed(events: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def folded(events: DataFrame, polls: DataFrame, successes: DataFrame, as_of: str) -> DataFrame:
+    """(flow, last_ok, running_since, problem, check_warning) from run reports and polls together.
+
+    ``polls(flow, poll_at, problem, warning, schema_warnings)`` and ``successes(flow, at)`` are
+    what polls of other systems left. A poll replaces the problem and the warnings, also with
+    none; a run that ends replaces the problem; whichever came last counts, of one instant the
+    poll. ``last_ok`` never goes back and only starts and ends of runs decide ``running_since``.
+    The three tables meet in one aggregate, combined before the shuffle.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    ended = F.col("outcome").isin("ok", "fail")
+    nothing = F.lit(None).cast("string")
+    runs = events.where(F.col("at") <= now).select(
+        "flow",
+        "at",
+        F.col("id").cast("long").alias("id"),
+        "outcome",
+        F.when(ended, 0).alias("_rank"),
+        F.when(F.col("outcome") == "fail", F.coalesce("detail", F.lit(""))).alias("_problem"),
+        nothing.alias("_warning"),
+        F.when(F.col("outcome") == "ok", F.col("at")).alias("_ok"),
+    )
+    warnings = F.concat(
+        F.array_compact(F.array("warning")),
+        F.coalesce("schema_warnings", F.array().cast("array<string>")),
+    )
+    polled = polls.where(F.col("poll_at") <= now).select(
+        "flow",
+        F.col("poll_at").alias("at"),
+        F.lit(None).cast("long").alias("id"),
+        nothing.alias("outcome"),
+        F.lit(1).alias("_rank"),
+        F.col("problem").alias("_problem"),
+        F.nullif(F.array_join(warnings, "; "), F.lit("")).alias("_warning"),
+        F.lit(None).cast("timestamp").alias("_ok"),
+    )
+    good = successes.where(F.col("at") <= now).select(
+        "flow", F.col("at").alias("_ok")
+    )
+    rows = runs.unionByName(polled).unionByName(good, allowMissingColumns=True)
+    # equal instants and ids are told apart by what was said, so repeats change nothing
+    when = F.struct("at", "_rank", "id", "_problem", "_warning")
+    latest = rows.groupBy("flow").agg(
+        F.max("_ok").alias("last_ok"),
+        F.max_by(
+            F.struct("outcome", "at"), F.when(F.col("outcome").isNotNull(), F.struct("at", "id"))
+        ).alias("_run"),
+        F.max_by(F.struct("_problem"), F.when(F.col("_rank").isNotNull(), when)).alias("_end"),
+        F.max_by(F.struct("_warning"), F.when(F.col("_rank") == 1, when)).alias("_poll"),
+    )
+    return latest.select(
+        "flow",
+        "last_ok",
+        F.when(F.col("_run.outcome") == "start", F.col("_run.at")).alias("running_since"),
+        F.col("_end._problem").alias("problem"),
+        F.col("_poll._warning").alias("check_warning"),
+    )
+
+
 def with_inputs(
     flows: DataFrame,
     state: DataFrame,

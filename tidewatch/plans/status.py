@@ -41,9 +41,19 @@ def due_table(flows: DataFrame, as_of: str, zone: str) -> DataFrame:
 
 
 def flow_state(
-    events: DataFrame, minutes: DataFrame, flows: DataFrame, job_costs: DataFrame, as_of: str
+    events: DataFrame,
+    minutes: DataFrame,
+    flows: DataFrame,
+    job_costs: DataFrame,
+    as_of: str,
+    polls: DataFrame | None = None,
+    successes: DataFrame | None = None,
 ) -> DataFrame:
-    """What is known of every flow: its reports, calls, last anomaly and cost warning."""
+    """What is known of every flow: its reports, polls, calls, last anomaly and cost warning.
+
+    ``polls`` and ``successes`` as :func:`tidewatch.operators.state.folded` takes them; without
+    them only run reports and calls are known.
+    """
     now = F.lit(as_of).cast("timestamp")
     past = events.where(F.col("at") <= now)
     tolerances = flows.select("flow", "tolerance")
@@ -58,13 +68,15 @@ def flow_state(
     warned = watching.join(spikes, "job_id").select(
         "flow", F.col("warning").alias("cost_warning")
     )
+    if polls is None:
+        known = state.replayed(past, as_of).withColumn("check_warning", F.lit(None).cast("string"))
+    else:
+        known = state.folded(past, polls, successes, as_of)
     return (
-        state.replayed(past, as_of)
-        .join(called, "flow", "full")
+        known.join(called, "flow", "full")
         .join(anomalies, "flow", "left")
         .join(warned, "flow", "left")
         .withColumn("last_ok", F.greatest("last_ok", "_called"))
-        .withColumn("check_warning", F.lit(None).cast("string"))
         .drop("_called")
     )
 
@@ -83,13 +95,15 @@ def evaluated(
     job_costs: DataFrame,
     as_of: str,
     zone: str,
+    polls: DataFrame | None = None,
+    successes: DataFrame | None = None,
 ) -> DataFrame:
     """Every flow with its own state, before blocking and maintenance."""
     now = F.lit(as_of).cast("timestamp")
     planned = with_schedule(flows, zone)
     since = plus_seconds(now, F.lit(-state.CALL_WINDOW_SECONDS))
     totals = calls.totals_since(minutes.where(F.col("minute") <= now), since)
-    known = flow_state(events, minutes, flows, job_costs, as_of)
+    known = flow_state(events, minutes, flows, job_costs, as_of, polls, successes)
     rows = state.with_inputs(planned, known, totals, due_table(planned, as_of, zone))
     return state.judged(rows, as_of, zone)
 
@@ -102,9 +116,11 @@ def current(
     windows: DataFrame,
     as_of: str,
     zone: str,
+    polls: DataFrame | None = None,
+    successes: DataFrame | None = None,
 ) -> DataFrame:
     """The whole picture: own state, then blocking, then maintenance."""
     columns = ["flow", "kind", "owner", "after", "last_ok", "state", "detail"]
-    own = evaluated(flows, events, minutes, job_costs, as_of, zone).select(*columns)
+    own = evaluated(flows, events, minutes, job_costs, as_of, zone, polls, successes).select(*columns)
     with_blocks = dependencies.blocked(own)
     return maintenance.overlaid(with_blocks, open_windows(windows, as_of), zone)
