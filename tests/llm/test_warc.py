@@ -5,6 +5,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import database, differences
 
@@ -57,6 +61,31 @@ def test_links_in_any_quotes_and_references_of_any_kind(spark):
     assert got[1, "conversion"].split("\n")[-1] == "café it's é…€ 😀 – &lt; &#65; &lt; &nosuch; \ufffd R&D \tx y"
 
 
+@pytest.mark.parametrize(
+    "piece",
+    [" ", "\n", "<!--", "<!-- -", "<script>", "<script ", "<style>", "<title>", "<title ", "<a ", "<a x=", "<a href='", "<p", "</script ", "&", "&#1", "<html "],
+)
+def test_pages_full_of_openings_take_linear_time(spark, piece):
+    page = "<p>one</p>" + piece * (1_000_000 // len(piece))
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    start = time.perf_counter()
+    got = {r.warc_type: r.block for r in warc.derivatives(warc.responses(rows)).collect()}
+    assert time.perf_counter() - start < 4
+    assert got["conversion"].startswith("one")
+
+
+def test_what_is_not_closed_ends_with_the_page(spark):
+    pages = {
+        "a<!-- b <p>c": "a", "a<!-->b<!--->c<!-- x --!>d": "abcd", "a<script x='1'>b</p>": "a", "a<style>b": "a", "a<script b": "a",
+        "a<!-- <script> -->b<script>c</script >d": "abd", "a <b": "a", "1 < 2 <p>x": "1 < 2\nx", "<title>t": "t",
+    }
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    made = warc.derivatives(warc.responses(rows, F.concat(F.lit("at "), F.col("page_id").cast("string")))).collect()
+    assert {r.page_id: r.block for r in made if r.warc_type == "conversion"} == dict(enumerate(pages.values()))
+    assert all(r.date == f"at {r.page_id}" for r in made)
+    assert not any("title: " in r.block for r in made if r.warc_type == "metadata")
+
+
 def test_files_hold_every_record(spark, folder, tmp_path):
     made = warc.derivatives(warc.responses(spark.read.parquet(f"{folder}/pages.parquet")))
     placed = warc.write(made, str(tmp_path / "warc")).collect()

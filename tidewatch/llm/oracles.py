@@ -97,9 +97,21 @@ _text = f"regexp_replace(regexp_replace({_text}, {_quoted(warc.LINES)}, chr(10),
 for _name, _sign in warc.ENTITIES:
     _text = f"replace({_text}, {_quoted(_name)}, {_quoted(_sign)})"
 _text = f"trim(regexp_replace(regexp_replace({_text}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
-_title = r"regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
-_lang = r"""regexp_extract(payload, '(?i)<html[^>]*?\slang="([^"]*)"', 1)"""
-_link = r"""'(?i)<a\s[^>]*?href="([^"]*)"'"""
+_title = f"regexp_extract(payload, {_quoted(warc.TITLE)}, 1)"
+
+
+def _value(tag: str, name: str) -> str:
+    """A pattern for an attribute's value, in quotes of either kind or bare."""
+    pattern = rf"""(?i)<{tag}(?:\s[^<>]*?)?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+    return _quoted(pattern)
+
+
+def _bare(value: str) -> str:
+    return f"""CASE WHEN left({value}, 1) IN (chr(34), chr(39)) THEN substr({value}, 2, length({value}) - 2) ELSE {value} END"""
+
+
+_lang = _bare(f"regexp_extract(payload, {_value('html', 'lang')}, 1)")
+_link = _value("a", "href")
 _end = "chr(13) || chr(10)"
 
 WARC = f"""
@@ -115,8 +127,8 @@ WITH pages_in AS (
     || 'source-http-header: HTTP/1.1 200 OK' || {_end}
     || 'source-http-header: Content-Type: text/html; charset=utf-8' || {_end}
     || 'source-http-header: Content-Length: ' || strlen(payload) || {_end}
-    || {_field("language", _lang)} || {_field("title", f"regexp_replace({_title}, '[\\r\\n]+', ' ', 'g')")}
-    || array_to_string(list_transform(regexp_extract_all(payload, {_link}, 1), lambda x: 'outlink: ' || x || {_end}), '') AS block
+    || {_field("language", f"({_lang})")} || {_field("title", f"regexp_replace({_title}, '[\\r\\n]+', ' ', 'g')")}
+    || array_to_string(list_transform(regexp_extract_all(payload, {_link}, 1), lambda x: 'outlink: ' || {_bare("x")} || {_end}), '') AS block
   FROM response
   UNION ALL SELECT *, 'conversion', {_text} FROM response
 )

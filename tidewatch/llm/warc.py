@@ -20,13 +20,19 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.token_files import _place
 
-#: Elements whose content is no text, and elements that begin a line.
-HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+#: Elements whose content is no text, and elements that begin a line. What is not closed ends with the page, as HTML
+#: has it, so no pattern fails after a long way and each page takes linear time.
+HIDDEN = (
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+    r"|<script\b[^>]*(?:>.*?(?:</script\s*>|\z)|\z)|<style\b[^>]*(?:>.*?(?:</style\s*>|\z)|\z)"
+)
 LINES = (
     r"(?i)</?(p|div|h[1-6]|li|ul|ol|br|tr|td|th|table|article|section|header|footer|nav|title|head|body|blockquote|pre)"
-    r"\b[^>]*>"
+    r"\b[^>]*(?:>|\z)"
 )
-TAGS = r"<[a-zA-Z/!?][^>]*>"
+TAGS = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
+#: A title that is not closed is none.
+TITLE = r"(?is)<title\b[^>]*(?:>(?:(.*?)</title\s*>|.*)|\z)"
 #: Usual named characters and what plain text has for them; & comes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 #: References to characters, by number or name. Names that HTML does not know stay as they are.
@@ -40,14 +46,14 @@ DATE = "2024-01-01T00:00:00Z"
 def _attribute(tag: str, name: str, loose: str) -> str:
     """An expression for an attribute's value, in quotes of either kind or bare.
 
-    Other attributes are passed over whole. Where a tag is not well formed, `loose` leads to a value in double quotes.
+    Other attributes are passed over whole, up to the next tag. Where a tag is not well formed, `loose` leads to a value in double quotes.
     """
-    other = rf"""[\s/]++(?!{name}[\s=])[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
+    other = rf"""[\s/]++(?!{name}[\s=])[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>][^\s<>]*+))?+"""
     return rf"""(?i)<{tag}(?:(?:{other})*+[\s/]+{name}\s*=\s*|{loose}{name}=(?="))("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 
 
-LINK = _attribute("a", "href", r"\s[^>]*?")
-LANG = _attribute("html", "lang", r"[^>]*?\s")
+LINK = _attribute("a", "href", r"\s[^<>]*?")
+LANG = _attribute("html", "lang", r"[^<>]*?\s")
 
 
 def _unquoted(value: Column) -> Column:
@@ -88,10 +94,12 @@ def identifier(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
+def responses(pages: DataFrame, date: str | Column = DATE) -> DataFrame:
     """Response records of pages (page_id, url, html): page_id, record_id, target_uri, date, http_headers,
-    payload and payload_digest. A null url or page is empty; only these columns are read."""
+    payload and payload_digest. `date` is when they were fetched: one text for all, or a text column of `pages`.
+    A null url or page is empty; only these columns are read."""
     rows = pages.select(
+        F.lit(date).alias("date"),
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("target_uri"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
@@ -104,7 +112,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
         "page_id",
         identifier(F.lit("response"), number, F.col("target_uri"), F.col("payload_digest")).alias("record_id"),
         "target_uri",
-        F.lit(date).alias("date"),
+        "date",
         head.alias("http_headers"),
         "payload",
         "payload_digest",
@@ -128,7 +136,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     metadata record without title and links; repeated rows give equal records; no response, no derivatives.
     """
     named = lambda kind: identifier(F.lit(kind), F.col("record_id"))
-    title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
+    title = F.regexp_extract("payload", TITLE, 1)
     lang = _unquoted(F.regexp_extract("payload", LANG, 1))
     links = F.array_join(
         F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), _unquoted(x), F.lit("\r\n"))), ""
