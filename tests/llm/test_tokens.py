@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyarrow import fs
 from tokenizers import Tokenizer
 
 from tidewatch.llm import merge_replay, packing, queries, token_counts, token_files, word_ids
@@ -195,6 +196,19 @@ def test_token_files_query(spark, folder, given, words):
     assert got == in_files([(r.doc_id, r.text) for r in sorted(given, key=lambda r: r.doc_id)], words, 2)
 
 
+def test_files_of_a_store_are_read_by_ranges(tmp_path, monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 60_000, 5_000).astype("<u2")
+    own = np.unique(np.r_[0, np.random.default_rng(6).integers(0, 5_000, 200), 5_000])
+    (tmp_path / "x.bin").write_bytes(ids.tobytes())
+    local = token_files.opened(fs.LocalFileSystem(), str(tmp_path / "x.bin"), "<u2")
+    store = token_files.opened(fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "x.bin", "<u2")
+    assert isinstance(store, token_files.Ranged)
+    wanted = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(own[:-1], own[1:])]
+    for size in (1 << 20, 100, 1):
+        monkeypatch.setattr(token_files, "READ_IDS", size)
+        assert token_files._checks(local, own) == token_files._checks(store, own) == wanted
+
+
 def test_token_files_of_odd_rows(spark, odd, empty, words):
     rows = sorted(token_files.token_files(spark, odd, WORD, 2).collect(), key=lambda r: r.start)
     keys = [r.doc_id for r in rows]

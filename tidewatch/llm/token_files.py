@@ -3,7 +3,8 @@
 A part is three files: `.bin`, the ids of its documents one after the other; `.off`, where each document
 starts in it, and the end of the last, as 64-bit integers; `.doc`, the doc_ids as 64-bit integers. The
 manifest has a row per part with its base: the ids of all parts before it, a prefix sum of their counts.
-Reading maps the files into memory, so any document is reached without reading the others.
+Reading maps the files into memory, or takes ranges of them from a store, so any document is reached without
+reading the others.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tidewatch.llm.word_ids import encoder
 
 PART = "part int, file string, width int, no_id long, documents long, tokens long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Ids that are read together; a longer document is read alone.
+READ_IDS = 1 << 20
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -86,14 +89,33 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFram
     return written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-def mapped(folder: str, file: str, kind: str) -> np.ndarray:
-    """A file as an array: mapped into memory where the system has it, else read from the store."""
-    store, top = _place(folder)
-    path = f"{top}/{file}"
+class Ranged:
+    """A file of a store that nothing is mapped from: each slice is read as it is asked for, and no more."""
+
+    def __init__(self, source: pa.NativeFile, kind: str) -> None:
+        self.source, self.kind = source, np.dtype(kind)
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        width = self.kind.itemsize
+        return np.frombuffer(self.source.read_at((span.stop - span.start) * width, span.start * width), self.kind)
+
+
+def opened(store: fs.FileSystem, path: str, kind: str) -> np.ndarray | Ranged:
+    """A file as an array: mapped into memory where the system has it, else read from the store by ranges."""
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, dtype=kind, mode="r")
-    with store.open_input_file(path) as source:
-        return np.frombuffer(source.read(), dtype=kind)
+    return Ranged(store.open_input_file(path), kind)
+
+
+def _checks(ids: np.ndarray | Ranged, own: np.ndarray) -> list[int]:
+    """The crc32 of each document's ids, which begin and end at `own`; about READ_IDS of them are held at once."""
+    found = []
+    for group in np.split(np.arange(len(own) - 1), np.flatnonzero(np.diff(own[:-1] // READ_IDS)) + 1):
+        spans = own[group[0] : group[-1] + 2]
+        block = ids[int(spans[0]) : int(spans[-1])]
+        inside = (spans - spans[0]).tolist()
+        found += [zlib.crc32(block[x:y].astype("<u4").tobytes()) for x, y in zip(inside[:-1], inside[1:])]
+    return found
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -105,19 +127,19 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
-                ids = mapped(folder, part["file"] + ".bin", f"<u{part['width']}")
-                offsets = mapped(folder, part["file"] + ".off", "<i8")
-                keys = mapped(folder, part["file"] + ".doc", "<i8")
+                store, top = _place(folder)
+                ids = opened(store, f"{top}/{part['file']}.bin", f"<u{part['width']}")
+                offsets = opened(store, f"{top}/{part['file']}.off", "<i8")
+                keys = opened(store, f"{top}/{part['file']}.doc", "<i8")
                 for a in range(0, part["documents"], 10_000):
                     b = min(a + 10_000, part["documents"])
-                    own = offsets[a : b + 1]
-                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(own[:-1].tolist(), own[1:].tolist())]
+                    own = np.array(offsets[a : b + 1])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.array(keys[a:b]), pa.int64(), mask=np.arange(a, b) < part["no_id"]),
                             pa.array(own[:-1] + part["base"], pa.int64()),
                             pa.array(np.diff(own), pa.int64()),
-                            pa.array(crc, pa.int64()),
+                            pa.array(_checks(ids, own), pa.int64()),
                         ],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
