@@ -381,6 +381,13 @@ WALK = """ord AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY at, o,
             WHEN o.state = 'ok' AND w.before IN ('warning', 'late', 'failed') THEN 'recovery' ELSE 'record' END AS decision
         FROM ord o JOIN walk w ON o.flow = w.flow AND o.r = w.r WHERE o.o = 2)"""
 oracle("alert_decisions", f"{WALK} /* recursive */ SELECT id, flow, at, state, alerted_before, decision FROM dec")
+LIFTED = WALK.replace("FROM sl)),", "FROM sl UNION ALL SELECT flow, at, -1, -1, NULL, TRUE, at FROM lf)),").replace(
+    "CASE WHEN n.o = 1 THEN w.alerted", "CASE WHEN n.o = -1 THEN 'pending' WHEN n.o = 1 THEN w.alerted").replace(
+    "CASE WHEN n.o = 1 THEN n.until", "CASE WHEN abs(n.o) = 1 THEN n.until")
+oracle("alert_decisions_after_lifts", f"{LIFTED} /* recursive */ SELECT id, flow, at, state, alerted_before, decision FROM dec")
+oracle("lifted_silences", """SELECT flow, until FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY set_at DESC, until DESC) AS r FROM (
+    SELECT flow, set_at, until FROM sl UNION ALL SELECT flow, at, at FROM lf)
+    WHERE set_at <= TIMESTAMP '2024-01-30 12:00:00') WHERE r = 1 AND until > TIMESTAMP '2024-01-30 12:00:00'""")
 ALERTS = """SELECT d.id, d.flow, d.at, d.flow || ' is ' || d.state || ' (' || sc.detail || ')' || coalesce(', owner ' || owner, '') AS text,
     d.state, sc.detail, owner, last_ok, CASE WHEN d.state = 'failed' THEN failed_at END AS failed_at
     FROM dec d JOIN sc USING (id) LEFT JOIN fl ON fl.flow = d.flow

@@ -311,6 +311,7 @@ VIEWS: dict[str, str] = {
         FROM events WHERE event_type = 'signup' AND event_id % 10 = 1 AND event_id % 13 > 0""",
     "sl": """SELECT flow, set_at, set_at + to_seconds(CAST(floor(hours * 3600) AS BIGINT)) AS until,
         lead(set_at) OVER (PARTITION BY flow ORDER BY set_at) AS next_at FROM sr""",
+    "lf": "SELECT flow, set_at + INTERVAL 20 MINUTE AS at FROM sl WHERE CAST(floor(epoch(set_at)) AS BIGINT) % 3 = 0",
     "ak": """SELECT flow, detail AS note, 'someone' AS "by", at FROM ev WHERE outcome = 'fail' AND id % 3 = 0""",
     "as_": f"""SELECT a.flow, note, "by", a.at FROM (
         SELECT flow, max_by(note, at) AS note, max("by") AS "by", max(at) AS at FROM ak GROUP BY flow) a

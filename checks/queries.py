@@ -980,6 +980,22 @@ def silences_in_force(m):
     return alerts.silenced_now(m.silences, "2024-01-30 12:00:00")
 
 
+def _lifts(m):
+    """Some silences are lifted twenty minutes after they were set."""
+    return m.silences.where("unix_seconds(set_at) % 3 = 0").select("flow", F.expr("set_at + INTERVAL 20 MINUTES AS at"))
+
+
+@query
+def lifted_silences(m):
+    return alerts.silenced_now(m.silences, "2024-01-30 12:00:00", _lifts(m))
+
+
+@query
+def alert_decisions_after_lifts(m):
+    rows = alerts.alert_decisions(m.evaluations, m.silences, lifts=_lifts(m))
+    return rows.select("id", "flow", "at", "state", "alerted_before", "decision")
+
+
 @query
 def flow_timeline(m):
     return timeline.timeline(m.flows, m.events, m.minutes, AS_OF, 168).select(

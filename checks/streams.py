@@ -13,6 +13,7 @@ from checks.oracles import oracle
 from checks.queries import at, query
 from tidewatch.operators import tables
 from tidewatch.session import shared_folder
+from tidewatch.sinks import export
 from tidewatch.streaming import stateful, windows
 
 
@@ -81,6 +82,16 @@ def streamed_settled_export(m):
     return m.spark.read.parquet(f"{folder}/rows").select("id", "flow", "at")
 
 
+@query
+def exported_minutes(m):
+    """Three exports; the second comes at a time when nothing more has closed."""
+    folder = scratch(m)
+    for now in ("2024-01-10 00:00:30", "2024-01-10 00:00:40", "2024-01-25 10:30:30"):
+        export.export_minutes(m.spark, m.minutes, f"{folder}/rows", f"{folder}/marks", at(now))
+    rows = m.spark.read.parquet(f"{folder}/rows")
+    return rows.select("flow", "minute", "ok", "client_errors", "server_errors", "total_millis")
+
+
 @query
 def streamed_absence(m):
     expected = m.flows.select(
@@ -131,6 +142,7 @@ def streamed_schema_changes(m):
 oracle("streamed_minute_counts", "SELECT * FROM mi WHERE minute < (SELECT date_trunc('minute', max(ts)) FROM events)")
 oracle("streamed_settled_export", """SELECT id, flow, at FROM ev WHERE id < coalesce((SELECT min(id) FROM ev
     WHERE recorded_at > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 1 MINUTE), 9223372036854775807)""")
+oracle("exported_minutes", "SELECT * FROM mi WHERE minute < TIMESTAMP '2024-01-25 10:29:00'")
 oracle("streamed_absence", """SELECT flow, make_timestamp(due // 1000 * 1000) AS due_at, state, since FROM (
     SELECT flow, epoch_us(at) + (every_seconds + 1800) * 1000000 AS due, 'late' AS state, at AS since, next FROM (
         SELECT flow, at, lead(at) OVER (PARTITION BY flow ORDER BY at) AS next FROM ev WHERE outcome = 'ok') JOIN fl USING (flow)

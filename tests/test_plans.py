@@ -61,3 +61,9 @@ def test_split_keys_read_their_exchange_twice(events):
     final = planned(total).split("Initial Plan")[0]
     assert "ReusedExchange" in final and final.count("REPARTITION_BY_COL") <= 2
     assert "CartesianProduct" not in final and "BroadcastNestedLoopJoin" not in final
+
+
+def test_carried_in_states_are_not_sorted(events):
+    start, until = (F.lit(t).cast("timestamp") for t in ("2024-01-15", "2024-01-20"))
+    plan = planned(reliability.period_changes(events.withColumnRenamed("outcome", "state"), start, until))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

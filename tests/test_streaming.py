@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.model import Model
 from tidewatch.operators import alerts, calls, files
+from tidewatch.sinks import export
 from tidewatch.streaming import stateful, windows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -199,3 +200,21 @@ def test_streams_do_not_depend_on_batches(spark, tmp_path):
             stream = stream_of(spark, frame, str(folder / "in"), pieces, by=time).withWatermark(time, "0 seconds")
             found[pieces] = rows(run(getattr(stateful, name)(stream, time_mode="EventTime"), folder, spark))
         assert found[1] == found[3] and len(found[1]) > 10
+
+
+def test_a_crash_between_rows_and_mark_exports_no_minute_twice(spark, model, tmp_path, monkeypatch):
+    target, marks = str(tmp_path / "rows"), str(tmp_path / "marks")
+    at = lambda text: F.lit(text).cast("timestamp")
+    export.export_minutes(spark, model.minutes, target, marks, at("2024-01-08 00:00:30"))
+
+    def lost(*_):
+        raise RuntimeError("the driver went away")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", lost)
+        with pytest.raises(RuntimeError):
+            export.export_minutes(spark, model.minutes, target, marks, at("2024-01-15 00:00:30"))
+    for now in ("2024-01-20 00:00:30", "2024-01-20 00:00:50", "2024-01-22 00:00:30"):
+        export.export_minutes(spark, model.minutes, target, marks, at(now))
+    got = spark.read.parquet(target).drop("batch")
+    assert rows(got) == rows(export.closed_minutes(model.minutes, at("1970-01-01"), at("2024-01-22 00:00:30")))

@@ -41,15 +41,18 @@ def alert_decisions(
     evaluations: DataFrame,
     silences: DataFrame,
     rows_per_slot: int = ROWS_PER_SLOT,
+    lifts: DataFrame | None = None,
 ) -> DataFrame:
     """What each evaluation leads to: ``alert``, ``recovery``, ``record`` or ``none``.
 
     ``evaluations(id, flow, at, state, detail, delivered)``; ``silences(flow, set_at, until)``,
-    a later one replacing an earlier one. Silence starts and ends travel in the same ordered
+    a later one replacing an earlier one; ``lifts(flow, at)`` end what is in force before its time.
+    Silence starts and ends travel in the same ordered
     stream as the evaluations, so no intervals are joined:
 
     - a start makes its end known to the rows after it,
     - an end forgets what was alerted, unless a newer silence has taken over,
+    - a lift is an end that always counts, so a flow still broken alerts at its next evaluation,
     - an evaluation in maintenance or silence leaves the alerted state alone, and so does one
       whose message was not delivered.
 
@@ -80,16 +83,21 @@ def alert_decisions(
         F.col("_m._order").alias("_order"),
         "_until",
     )
+    if lifts is not None:
+        lifted = lifts.select("flow", "at", F.lit(-1).alias("_order"), F.col("at").alias("_until"))
+        rows = lifted.withColumns({"id": F.lit(-1).cast("long"), "delivered": F.lit(True)})
+        marks = marks.unionByName(rows, allowMissingColumns=True)
     keys, order = ["flow"], ["at", "_order", "id"]
+    is_lift = F.col("_order") == -1
     is_start, is_end = F.col("_order") == 1, F.col("_order") == 0
     rows = neighbours(
         slotted(actual.unionByName(marks), keys, "at", rows_per_slot),
         keys,
         order,
-        carried={"_silenced_until": F.when(is_start, F.col("_until"))},
+        carried={"_silenced_until": F.when(is_start | is_lift, F.col("_until"))},
     )
     # an end counts when the silence in force is the one that ends
-    ends = is_end & F.col("_silenced_until").eqNullSafe(F.col("_until"))
+    ends = is_lift | (is_end & F.col("_silenced_until").eqNullSafe(F.col("_until")))
     silenced = F.coalesce(F.col("_silenced_until") > F.col("at"), F.lit(False))
     heard = (F.col("_order") == 2) & ~silenced & (F.col("state") != "maintenance")
     sent = needs_attention(F.col("state")) | (F.col("state") == "ok")
@@ -148,13 +156,16 @@ def acknowledged(acks: DataFrame, evaluations: DataFrame, as_of: str) -> DataFra
     return latest.join(ok, "flow", "left").where(standing).select("flow", "_ack.*")
 
 
-def silenced_now(silences: DataFrame, as_of: str) -> DataFrame:
-    """(flow, until) of silences in force; a later one replaces an earlier one."""
+def silenced_now(silences: DataFrame, as_of: str, lifts: DataFrame | None = None) -> DataFrame:
+    """(flow, until) of silences in force; a later one replaces an earlier one, a lift ends it."""
     now = F.lit(as_of).cast("timestamp")
+    if lifts is not None:
+        ends = lifts.select("flow", F.col("at").alias("set_at"), F.col("at").alias("until"))
+        silences = silences.select("flow", "set_at", "until").unionByName(ends)
     latest = (
         silences.where(F.col("set_at") <= now)
         .groupBy("flow")
-        .agg(F.max_by("until", "set_at").alias("until"))
+        .agg(F.max_by("until", F.struct("set_at", "until")).alias("until"))
     )
     return latest.where(F.col("until") > now)
 

@@ -9,13 +9,17 @@ from tidewatch.functions.business_days import local_midnight
 from tidewatch.functions.ordered import ROWS_PER_SLOT, SLOT, neighbours, slotted
 from tidewatch.functions.scalars import (
     MICROS,
+    STATES,
     UNMEASURED,
     UP,
     int_div,
     micros_between,
+    rank_in,
 )
 
 ORDER = ["at", "id"]
+#: Decimal digits of an id and, behind it, of a state's place.
+ID_DIGITS = 20
 
 
 def is_up(state: Column) -> Column:
@@ -29,14 +33,29 @@ def is_measured(state: Column) -> Column:
 def period_changes(changes: DataFrame, start: Column, until: Column) -> DataFrame:
     """The state each flow was in when the period began, then every change inside it.
 
-    The carried-in state is stamped at ``start``; it comes from an aggregate, not a sort.
+    The carried-in state is stamped at ``start``. Time, id and the state's place in the fixed list
+    of states are packed into one decimal, whose maximum a hash aggregate keeps in a buffer of
+    fixed width: however long the history, nothing of it is sorted. Ids are not negative.
     """
     narrow = changes.select("flow", "at", "id", "state")
+    digits = F.lit(str(10**ID_DIGITS)).cast("decimal(21,0)")
+    packed = (
+        F.unix_micros("at").cast("decimal(18,0)") * digits
+        + F.col("id").cast("decimal(19,0)") * F.lit(10)
+        + rank_in(F.col("state"), STATES)
+    )
+    rest = F.pmod(F.col("_last"), digits)
+    place = F.pmod(rest, F.lit(10)).cast("int")
     before = (
         narrow.where(F.col("at") < start)
         .groupBy("flow")
-        .agg(F.max_by(F.struct("id", "state"), F.struct(*ORDER)).alias("_last"))
-        .select("flow", start.alias("at"), F.col("_last.id"), F.col("_last.state"))
+        .agg(F.max(packed.cast("decimal(38,0)")).alias("_last"))
+        .select(
+            "flow",
+            start.alias("at"),
+            ((rest - place) / F.lit(10)).cast("long").alias("id"),
+            F.element_at(F.array(*map(F.lit, STATES)), place + 1).alias("state"),
+        )
     )
     inside = narrow.where((F.col("at") >= start) & (F.col("at") < until))
     return before.unionByName(inside)

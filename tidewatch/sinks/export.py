@@ -78,3 +78,31 @@ def export_settled(
     )
     spark.createDataFrame([(last,)], "watermark long").write.mode("append").parquet(marks)
     return last
+
+
+def export_minutes(
+    spark: SparkSession, minutes: DataFrame, target: str, marks: str, as_of: Column
+) -> int:
+    """Writes the minutes that have closed since the last export, each exactly once.
+
+    Every export owns one folder of rows and one of its mark, numbered after the marks there
+    are. A crash between the two writes leaves rows without a mark; the next export has the same
+    number and replaces them. Returns the last minute exported, in microseconds.
+    """
+    try:
+        known = spark.read.parquet(marks).agg(F.max("watermark"), F.max("batch")).first()
+    except AnalysisException:
+        known = (None, None)
+    watermark = NO_ID if known[0] is None else known[0]
+    number = 0 if known[1] is None else known[1] + 1
+    after = F.timestamp_micros(F.lit(watermark))
+    # what is exported is fixed first, as minutes go on closing
+    last = closed_minutes(minutes, after, as_of).agg(F.max(F.unix_micros("minute"))).first()[0]
+    if last is None:
+        return watermark
+    until = F.timestamp_micros(F.lit(last))
+    rows = minutes.where((F.col("minute") > after) & (F.col("minute") <= until))
+    rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+    mark = spark.createDataFrame([(last,)], "watermark long")
+    mark.write.mode("overwrite").parquet(f"{marks}/batch={number}")
+    return last
