@@ -300,6 +300,8 @@ def test_a_junk_text_in_a_third_of_all_rows_changes_nothing(spark, folder):
     rows += [(2_000_000, "#%& 1234 " * 20_000, "en", "s", 180_000)]
     both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
     assert {r.doc_id for r in quality.passing(both).select("doc_id").collect()} == kept
+    assert {r.doc_id for r in quality.judged(docs).where("kept").select("row.doc_id").collect()} == kept
+    assert {r.doc_id for r in quality.judged(both).where("kept").select("row.doc_id").collect()} == kept
     clean = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").join(docs, "doc_id", "left_semi")
     failed = {r.doc_id for r in quality.judged(docs).where("base_failed").select("row.doc_id").collect()}
     assert {r.doc_id for r in clean.collect()} - failed <= kept

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.llm import warc
-from tidewatch.llm.quality import CLASSES, COMMON, WINDOW, Rules
+from tidewatch.llm.quality import CLASSES, COMMON, STEPS, WINDOW, Rules
 
 _rules = Rules()
 _white = r"[\x20\x09-\x0D]"
@@ -18,7 +18,7 @@ _sets = {
 _counts = ", ".join(f"length(t) - length(regexp_replace(t, '{_sets[c]}', '', 'g'))" for c in CLASSES)
 _every = "[" + "".join(_sets[c][1:-1] for c in CLASSES) + "]"
 _listed = " ".join(f"WHEN '{lang}' THEN {common.split()!r}" for lang, common in COMMON.items())
-_class_bins, _word_bins = len(CLASSES) + 1, max(len(c.split()) for c in COMMON.values()) + 1
+_class_bins = len(CLASSES) + 1
 
 
 def _distance(own: str, reference: str) -> str:
@@ -30,6 +30,10 @@ def _distance(own: str, reference: str) -> str:
              + CASE WHEN {reference}[i] > 0 THEN {q} * log2(2 * ({q}) / {both}) ELSE 0 END) / 2)))) END"""
 
 
+def _shares(own: str) -> str:
+    return f"list_transform({own}, lambda c: c * {STEPS} // list_sum({own}))"
+
+
 QUALITY = f"""
 WITH texts AS (
   SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents
@@ -40,7 +44,7 @@ WITH texts AS (
     CASE lang {_listed} END AS listed
   FROM texts
 ), counted AS (
-  SELECT r, doc_id, lang, w, len(w) AS n_words, classes,
+  SELECT r, doc_id, lang, t, len(w) AS n_words, w, classes,
     classes[{list(CLASSES).index("symbol") + 1}] AS n_symbols,
     length(t) - classes[{list(CLASSES).index("white") + 1}] AS word_chars,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
@@ -57,17 +61,27 @@ WITH texts AS (
 ), repeats AS (
   SELECT r, sum(least({WINDOW}, coalesce(after - i, {WINDOW}))) AS n
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM windows WHERE n > 1) GROUP BY r
+), based AS (
+  SELECT counted.*, coalesce(repeats.n, 0) AS n_repeat_words,
+    n_words < {_rules.least_words} OR 100 * coalesce(repeats.n, 0) > {_rules.repeat_percent} * n_words AS base_failed
+  FROM counted LEFT JOIN repeats USING (r)
+), different AS (
+  SELECT lang, any_value(classes) AS classes, any_value(commons) AS commons
+  FROM based WHERE n_words >= {_rules.least_words_compared} AND NOT base_failed AND commons IS NOT NULL GROUP BY lang, t
+), bins AS (
+  SELECT lang, unnest(range(1, len(shares) + 1)) AS bin, unnest(shares) AS share
+  FROM (SELECT lang, list_concat({_shares("classes")}, {_shares("commons")}) AS shares FROM different)
+), medians AS (
+  SELECT lang, bin, list_sort(list(share))[(count(*) + 1) // 2] AS share FROM bins GROUP BY lang, bin
 ), refs AS (
-  SELECT lang AS ref_lang,
-    [{", ".join(f"sum(classes[{i + 1}])" for i in range(_class_bins))}] AS ref_classes,
-    list_filter([{", ".join(f"sum(commons[{i + 1}])" for i in range(_word_bins))}], lambda x: x IS NOT NULL) AS ref_commons
-  FROM counted WHERE n_words >= {_rules.least_words_compared} AND commons IS NOT NULL GROUP BY lang
+  SELECT lang AS ref_lang, list(share ORDER BY bin) FILTER (bin <= {_class_bins}) AS ref_classes,
+    list(share ORDER BY bin) FILTER (bin > {_class_bins}) AS ref_commons
+  FROM medians GROUP BY lang
 ), scored AS (
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
-    n_words < {_rules.least_words} OR 100 * coalesce(repeats.n, 0) > {_rules.repeat_percent} * n_words AS base_failed,
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     {_distance("classes", "ref_classes")} AS class_distance,
     {_distance("commons", "ref_commons")} AS word_distance
-  FROM counted LEFT JOIN repeats USING (r) LEFT JOIN refs ON lang = ref_lang
+  FROM based LEFT JOIN refs ON lang = ref_lang
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,

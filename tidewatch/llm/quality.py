@@ -1,17 +1,19 @@
 """Quality rules: word and line counts, and how far a document's histograms are from its language's.
 
-Two histograms of a document, of character classes and of common words, are held against those of all
-documents of its language by Jensen-Shannon distance (the root of the divergence, base 2: 0 alike,
-1 nothing in common). Documents that are too short for a histogram to say anything are left alone.
+Two histograms of a document, of character classes and of common words, are held against those of its
+language by Jensen-Shannon distance (the root of the divergence, base 2: 0 alike, 1 nothing in common).
+The language's are the medians over all its different texts that pass the counts. Documents that are too
+short for a histogram to say anything are left alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import stored
 from tidewatch.llm.words import WHITE, let, settled, text_of, window_hashes, words
 
 #: Signs that count as symbols.
@@ -82,28 +84,6 @@ def _histograms(docs: DataFrame, rules: Rules) -> DataFrame:
     return rows.withColumn("commons", F.expr(f"concat({counts}, array(size(words) - size(found)))"))
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Per language with common words: the summed histograms of all its documents that are long enough.
-
-    A row for each of `rules.common` at most. Counts are whole numbers, so the sums don't hang on order.
-    """
-    rows = _histograms(docs, rules).where(F.size("words") >= rules.least_words_compared)
-    rows = rows.where(F.col("row.lang").isin(*rules.common))
-    return _summed(rows.select(F.col("row.lang").alias("ref_lang"), "classes", "commons"), rules)
-
-
-def _summed(rows: DataFrame, rules: Rules) -> DataFrame:
-    length = max(len(c.split()) for c in rules.common.values()) + 1
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"class_{i}") for i in range(len(CLASSES) + 1)]
-    sums += [F.sum(F.get("commons", F.lit(i))).alias(f"common_{i}") for i in range(length)]
-    summed = rows.groupBy("ref_lang").agg(*sums)
-    return summed.select(
-        "ref_lang",
-        F.array(*(f"class_{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"),
-        F.array_compact(F.array(*(f"common_{i}" for i in range(length)))).alias("ref_commons"),
-    )
-
-
 def distance(own: str, reference: str) -> Column:
     """Jensen-Shannon distance of two histograms of counts; null where either is null or empty."""
     part = (
@@ -152,34 +132,55 @@ def _counted(docs: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-#: What the shares of a document's histogram add up to, in whole numbers so that sums don't hang on order.
-WHOLE = 1_000_000_000
+#: Shares of a histogram are taken in steps of one in so many, which bounds what a median is looked for in.
+STEPS = 10_000
 
+#: What the verdict on a document is made of, beside its own columns.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
-def robust_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """As `references`, but each different text that passes the base rules adds its shares, and adds them once.
 
-    So neither repeats of a text nor its length make it count for more, and junk that the counts already
-    reject does not count.
-    """
-    rows = _counted(docs, rules).where(~F.col("base_failed") & (F.col("n_words") >= rules.least_words_compared))
+def profiles(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The documents' columns without the texts as `row`, with their counts, histograms and the text's digest."""
+    rest = F.struct(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"))
+    digest = F.md5(F.col("t").cast("binary")).alias("digest")
+    return _counted(docs, rules).select(rest.alias("row"), digest, *COUNTS, "classes", "commons")
+
+
+def _references(profiled: DataFrame, rules: Rules) -> DataFrame:
+    rows = profiled.where(~F.col("base_failed") & (F.col("n_words") >= rules.least_words_compared))
     rows = rows.where(F.col("row.lang").isin(*rules.common))
-    share = "transform({0}, c -> c * {1}L div aggregate({0}, 0L, (s, x) -> s + x))"
-    shares = F.struct(*(F.expr(share.format(name, WHOLE)).alias(name) for name in ("classes", "commons")))
-    rows = rows.select(F.col("row.lang").alias("ref_lang"), F.md5(F.col("t").cast("binary")).alias("text"), shares.alias("shares"))
-    rows = rows.groupBy("ref_lang", "text").agg(F.min("shares").alias("shares")).select("ref_lang", "shares.*")
-    return _summed(rows, rules)
+    share = f"transform({{0}}, c -> c * {STEPS}L div aggregate({{0}}, 0L, (s, x) -> s + x))"
+    shares = F.concat(*(F.expr(share.format(name)) for name in ("classes", "commons")))
+    rows = rows.select(F.col("row.lang").alias("ref_lang"), "digest", shares.alias("shares"))
+    rows = rows.groupBy("ref_lang", "digest").agg(F.min("shares").alias("shares"))
+    bins = rows.select("ref_lang", F.posexplode("shares").alias("bin", "share"))
+    counted = bins.groupBy("ref_lang", "bin", "share").agg(F.count(F.lit(1)).alias("n"))
+    # STEPS + 1 rows a bin at most
+    one = Window.partitionBy("ref_lang", "bin")
+    passed = F.sum("n").over(one.orderBy("share")) * 2 >= F.sum("n").over(one)
+    medians = counted.withColumn("passed", passed).where("passed").groupBy("ref_lang", "bin").agg(F.min("share").alias("share"))
+    listed = F.sort_array(F.collect_list(F.struct("bin", "share")))["share"]
+    ends = len(CLASSES) + 1
+    return medians.groupBy("ref_lang").agg(listed.alias("medians")).select(
+        "ref_lang",
+        F.slice("medians", 1, ends).alias("ref_classes"),
+        F.slice("medians", F.lit(ends + 1), F.size("medians")).alias("ref_commons"),
+    )
 
 
-def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents as `row`, with the counts, the two distances, base_failed and kept.
+def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Per language with common words, the median share of each bin of its texts' histograms; a row for each at most.
 
-    A null text has no words. A document without a language, or of one without a reference, is judged by
-    its counts alone. Every row is judged by itself: repeated rows give equal results, and an empty table
-    gives none. Very long texts are taken whole; repeated windows are found by sorting their hashes.
+    Each different text that passes the base rules and is long enough counts once. So neither repeats of a
+    text nor its length make it count for more, junk that the counts already reject does not count, and other
+    junk does not move the medians while most texts are none. Of two middle shares the smaller one is taken.
     """
+    return _references(profiles(docs, rules), rules)
+
+
+def _verdicts(rows: DataFrame, reference: DataFrame, rules: Rules) -> DataFrame:
     # a row for each language that has a list of common words, no more
-    rows = _counted(docs, rules).join(F.broadcast(reference), F.col("row.lang") == F.col("ref_lang"), "left")
+    rows = rows.join(F.broadcast(reference), F.col("row.lang") == F.col("ref_lang"), "left")
     for name in ("classes", "commons", "ref_classes", "ref_commons"):
         rows = rows.withColumn(f"{name}_n", F.expr(f"aggregate({name}, 0L, (s, x) -> s + x)"))
     rows = rows.withColumn("class_distance", distance("classes", "ref_classes"))
@@ -190,11 +191,26 @@ def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> D
     return rows.withColumn("kept", settled(~F.col("base_failed") & ~F.coalesce(far, F.lit(False))))
 
 
+def measured(docs: DataFrame, reference: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The documents as `row`, with the counts, the two distances, base_failed and kept.
+
+    A null text has no words. A document without a language, or of one without a reference, is judged by
+    its counts alone. Every row is judged by itself: repeated rows give equal results, and an empty table
+    gives none. Very long texts are taken whole; repeated windows are found by sorting their hashes.
+    """
+    return _verdicts(_counted(docs, rules), reference, rules)
+
+
 def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """`measured` against references made of the same documents."""
-    return measured(docs, references(docs, rules), rules)
+    """`measured` against `references` of the same documents; `row` holds all columns but the text.
+
+    The texts are read once: their profiles are written to the shared folder, and references and verdicts
+    are made of those.
+    """
+    profiled = stored(profiles(docs, rules), "quality")
+    return _verdicts(profiled, _references(profiled, rules), rules)
 
 
 def passing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept against `robust_references`, with their columns as they came."""
-    return measured(docs, robust_references(docs, rules), rules).where("kept").select("row.*")
+    """The documents that are kept against their own `references`, with their columns as they came."""
+    return measured(docs, references(docs, rules), rules).where("kept").select("row.*")
