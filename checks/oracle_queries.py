@@ -18,6 +18,8 @@ oracle("refused_reports", f"""SELECT event_id AS id, 'flow-' || (user_id % 50) A
         WHEN event_id % 13 <> 0 AND event_id % 19 = 0 THEN 'at most 20 metrics, each with a plain name'
         ELSE 'the result is neither start nor an exit code' END AS refusal FROM events
     WHERE event_id % 11 = 0 OR event_id % 17 = 0 OR (event_id % 13 <> 0 AND event_id % 19 = 0)""")
+oracle("strict_reports", """SELECT event_id AS id, 'flow-' || (user_id % 50) AS flow,
+    'the body is not an object whose values are numbers' AS refusal FROM events WHERE event_id % 6 <> 5""")
 oracle("call_reports", f"""SELECT flow, CAST(status AS BIGINT) AS status, count(*) AS calls, CAST(sum(millis) AS BIGINT) AS millis FROM (
     SELECT 'api-' || (user_id % 20) AS flow, {STATUS} AS status, CASE event_id % 3
         WHEN 0 THEN CAST(floor(value) AS BIGINT) WHEN 1 THEN 0 ELSE 86400000 END AS millis FROM events

@@ -70,6 +70,14 @@ def refused_reports(m):
     return reports.refused_reports(m.raw_reports).select("id", "flow", "result", "refusal")
 
 
+@query
+def strict_reports(m):
+    forms = """element_at(array('{"a": NaN}', "{'a': 1}", '{"a": 1} tail', '{"a": 1e999}', '{"a": 01}', '{"a": -1.5e3}'),
+        cast(id % 6 + 1 AS int))"""
+    raw = m.raw_reports.withColumns({"result": F.lit("0"), "body": F.expr(forms)})
+    return reports.refused_reports(raw).select("id", "flow", "refusal")
+
+
 @query
 def call_reports(m):
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -625,6 +626,46 @@ def test_table_logs_on_disk(spark, tmp_path):
     assert one(table_logs.problems(none, "x")).problem == "no delta tables under x"
 
 
+def test_logs_are_read_from_the_newest_whole_checkpoint_on(spark, tmp_path):
+    add = lambda path: f'{{"add":{{"path":"{path}","size":10,"stats":"{{\\"numRecords\\":1}}"}}}}'
+    schema = '{"metaData":{"schemaString":"{\\"fields\\":[{\\"name\\":\\"id\\",\\"type\\":\\"long\\"}]}"}}'
+    old, deep = tmp_path / "an old one", tmp_path / "a" / "b" / "c" / "d" / "deep"
+    # the file of every commit but the last replaces the one before
+    commits = [[schema, add("f0")]] + [[f'{{"remove":{{"path":"f{i - 1}"}}}}', add(f"f{i}")] for i in range(1, 40)]
+    write_log(old, *commits, [add("extra")])
+    write_log(deep, [schema, add("x")])
+    log = old / "_delta_log"
+
+    def checkpoint(version: int, name: str) -> None:
+        rows = spark.createDataFrame([(schema,), (add(f"f{version}"),), (f'{{"remove":{{"path":"f{version - 1}"}}}}',)], "v string")
+        parts = rows.select(F.from_json("v", table_logs._ACTION).alias("a")).select("a.*").coalesce(1)
+        folder = tmp_path / f"made-{name}"
+        parts.write.parquet(str(folder))
+        [file] = folder.glob("*.parquet")
+        (log / name).write_bytes(file.read_bytes())
+
+    checkpoint(20, f"{20:020d}.checkpoint.parquet")
+    checkpoint(30, f"{30:020d}.checkpoint.parquet")
+    # one part of two says nothing
+    checkpoint(35, f"{35:020d}.checkpoint.{1:010d}.{2:010d}.parquet")
+    # what a checkpoint covers is not read: it may be gone or broken
+    for version in range(10):
+        (log / f"{version:020d}.json").write_text("no json")
+    read = table_logs.live_files(spark, str(tmp_path)).collect()
+    assert sorted((r.version, r.saved) for r in read) == [(30, False), (30, True)] + [(v, False) for v in range(31, 41)]
+    found = one(table_logs.read_inventory(spark, str(tmp_path)))
+    assert (found.table_name, found.version, found.rows, found.files, found.fields) == ("an old one", 40, 2, 2, ["id:long"])
+    # a checkpoint's own time is not that of its version
+    os.utime(log / f"{40:020d}.json", (1_700_000_000, 1_700_000_000))
+    checkpoint(40, f"{40:020d}.checkpoint.parquet")
+    found = one(table_logs.inventory(table_logs.read_logs(spark, str(tmp_path))).selectExpr("unix_seconds(committed_at) AS at"))
+    assert found.at == 1_700_000_000
+    everything = table_logs.read_inventory(spark, str(tmp_path), depth=None)
+    assert {r.table_name for r in everything.collect()} == {"an old one", "a/b/c/d/deep"}
+    assert one(table_logs.problems(everything, "x", most=1)).problem == "more than 1 delta tables under x"
+    assert table_logs.problems(everything, "x", most=None).collect() == []
+
+
 def test_folder_listing(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.xml").write_text("12345")
@@ -656,6 +697,20 @@ def test_what_a_report_may_say(spark):
     assert {r.id for r in reports.refused_reports(raw).collect()} == {5, 6, 7, 8, 9, 10}
 
 
+def test_bodies_are_strict(spark):
+    good = ['{}', ' { } ', '{"a": -0.5e-3, "b":1}\n', '{"q": 1, "r": 0}']
+    bad = ['{"a": NaN}', '{"a": "NaN"}', '{"a": Infinity}', '{"a": 1e999}', "{'a': 1}", '{"a": 1} tail', '{"a": 1}{"b": 2}',
+           '{"a": 01}', '{"a": 1,}', '{"a": null}', '{"a": true}', '{"a": "1"}', '{"' + "a" * 200_000]
+    raw = spark.createDataFrame([(i, "f", "0", b) for i, b in enumerate(good + bad)], "id long, flow string, result string, body string")
+    raw = raw.withColumn("at", ts(START))
+    assert {r.id for r in reports.run_reports(raw).collect()} == set(range(len(good)))
+    assert {r.id for r in reports.refused_reports(raw).collect()} == set(range(len(good), len(good + bad)))
+    calls_sent = ['{"status": 0}', '{"status": 65535}', '{"status": 65536}', '[{"status": 200}, {"status": -1}]']
+    sent = spark.createDataFrame([("f", b) for b in calls_sent], "flow string, body string").withColumn("at", ts(START))
+    assert sorted(r.status for r in reports.call_reports(sent).collect()) == [0, 65535]
+    assert reports.refused_calls(sent).count() == 2
+
+
 def test_calls_are_counted_and_clamped(spark):
     raw = spark.createDataFrame(
         [("f", '[{"status": 200, "millis": 9223372036854775807}, {"status": 200, "millis": 9223372036854775807}]'),

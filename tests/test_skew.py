@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.model import AS_OF, MONTH, ZONE, Model
+from tidewatch.functions import ordered
 from tidewatch.functions.ordered import SLOT, neighbours, recent, slotted
 from tidewatch.operators import alerts, files, maintenance, reliability, runs, tables
 from tidewatch.plans import monthly
@@ -50,6 +51,16 @@ def test_hot_keys_are_split_and_small_ones_are_not(spark, hot):
     assert all(slots == 1 for flow, (slots, _) in sizes.items() if flow != "flow-7")
 
 
+def test_any_number_of_hot_keys_is_split(hot, monkeypatch):
+    placed = slotted(hot.events, ["flow"], "at", 3)
+    keys = placed.groupBy("flow").agg(F.count_distinct(SLOT).alias("n")).where("n > 1").count()
+    assert keys > 20
+    rows = bag(placed)
+    # beyond the bound slots are joined by a shuffle, and are the same
+    monkeypatch.setattr(ordered, "MAX_BROADCAST_KEYS", 5)
+    assert bag(slotted(hot.events, ["flow"], "at", 3)) == rows
+
+
 def test_runs(hot):
     tolerances = hot.flows.select("flow", "tolerance")
     for build in (runs.run_marks, runs.with_seconds):

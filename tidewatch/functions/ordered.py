@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 SLOT = "_slot"
 ROWS_PER_SLOT = 2_000_000
-# the hottest keys that are split; each key beyond them holds under 1/20000 of the rows
-MAX_SPLIT_KEYS = 20_000
+# the most keys whose slots are broadcast; the slots of more keys are joined by a shuffle
+MAX_BROADCAST_KEYS = 20_000
 
 
 def _matching(one: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -33,21 +33,22 @@ def slotted(
     """Adds ``_slot`` where some key has more than ``rows_per_slot`` rows, else nothing.
 
     One count per key, combined before its shuffle, decides. The width of a slot is chosen per
-    hot key, so that its busiest hour fills about ``rows_per_slot`` rows per slot. The table of
-    widths that is broadcast has at most ``MAX_SPLIT_KEYS`` rows whatever the input; the driver
-    only learns whether there are any.
+    hot key, so that its busiest hour fills about ``rows_per_slot`` rows per slot. Every such key
+    is split. Up to ``MAX_BROADCAST_KEYS`` of them are broadcast, more are left to joins by
+    shuffle; the driver only learns how many there are, up to that number.
     """
     keys = list(keys)
     large = (
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slot)
     )
-    if large.isEmpty():
+    found = large.limit(MAX_BROADCAST_KEYS + 1).count()
+    if found == 0:
         return rows
-    hottest = large.orderBy(F.desc("_n"), *keys).limit(MAX_SPLIT_KEYS).select(*keys)
+    sent = F.broadcast if found <= MAX_BROADCAST_KEYS else lambda table: table
     epoch = F.unix_seconds(F.col(at))
     hour = F.floor(epoch / F.lit(3600)).alias("_hour")
     hourly = (
-        _matching(rows.select(*keys, at), F.broadcast(hottest), keys, "inner")
+        _matching(rows.select(*keys, at), sent(large.select(*keys)), keys, "inner")
         .groupBy(*keys, hour)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -55,7 +56,7 @@ def slotted(
     width = F.greatest(F.lit(1), per_peak).cast("long").alias("_width")
     widths = hourly.groupBy(*keys).agg(width)
     slot = F.coalesce(F.floor(epoch / F.col("_width")), F.lit(0).cast("long"))
-    return _matching(rows, F.broadcast(widths), keys, "left").select(*rows.columns, slot.alias(SLOT))
+    return _matching(rows, sent(widths), keys, "left").select(*rows.columns, slot.alias(SLOT))
 
 
 def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,23 +10,33 @@ from tidewatch.functions.scalars import valid_id
 # fixed values: limits of one report
 MAX_METRICS = 20
 MAX_CALLS = 10_000
+MAX_STATUS = 65_535
+
+# Spark reads more than JSON allows, and nothing behind the first value, so the form is looked at as well.
+# What repeats never gives back what it took: time is linear in the body.
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_NAME = r'"(?:[^"\\]|\\.)*+"'
+_PAIR = rf"\s*+{_NAME}\s*+:\s*+{_NUMBER}\s*+"
+NUMBERS = rf"\A\s*+\{{(?:{_PAIR}(?:,{_PAIR}){{0,{MAX_METRICS - 1}}}+|\s*+)\}}\s*+\z"
+STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
 def _judged(raw: DataFrame) -> DataFrame:
     body = F.col("body")
     blank = F.coalesce(F.trim(F.regexp_replace(body, r"\s", "")) == "", F.lit(True))
-    sent = F.from_json(body, "map<string,double>")
-    # anything that is not an object of numbers parses to null or to null values
+    sent = F.from_json(body, "map<string,double>", STRICT)
+    many = F.coalesce(F.size(sent) > MAX_METRICS, F.lit(False))
+    # anything that is not an object of numbers parses to null or to null values; 1e999 is beyond a double
+    infinite = F.exists(F.map_values(sent), lambda v: v.isNull() | (F.abs(v) == float("inf")))
     broken = ~blank & (
-        sent.isNull()
-        | F.coalesce(F.exists(F.map_values(sent), lambda v: v.isNull()), F.lit(False))
+        sent.isNull() | F.coalesce(infinite, F.lit(False)) | (~many & ~F.rlike(body, F.lit(NUMBERS)))
     )
     names_bad = F.exists(F.map_keys(sent), lambda k: ~valid_id(k))
     code = F.when(F.rlike("result", F.lit(r"\A[+-]?[0-9]+\z")), F.col("result").try_cast("long"))
     refusal = (
         F.when(broken, "the body is not an object whose values are numbers")
         .when(
-            ~blank & ((F.size(sent) > MAX_METRICS) | names_bad),
+            ~blank & (many | names_bad),
             "at most 20 metrics, each with a plain name",
         )
         .when(~valid_id(F.col("flow")), "a flow id has 1 to 64 of a-z, 0-9, dash, underscore and dot")
@@ -76,7 +86,8 @@ def _calls(body: Column) -> Column:
 
 def _judged_calls(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("_calls", _calls(F.col("body")))
-    whole = F.coalesce(F.forall("_calls", lambda c: c["status"].isNotNull()), F.lit(False))
+    known = F.forall("_calls", lambda c: F.coalesce(c["status"].between(0, MAX_STATUS), F.lit(False)))
+    whole = F.coalesce(known, F.lit(False))
     refusal = F.when(~whole, "not a call or a list of calls, each with a status").when(
         F.size("_calls") > MAX_CALLS, f"more than {MAX_CALLS} calls in one batch"
     )

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: how deep tables are looked for below a folder, and how many are too many
+# fixed values: how deep tables are looked for below a folder, and how many are too many, if nothing else is said
 MAX_DEPTH = 3
 MAX_TABLES = 2000
 LOG = "_delta_log"
+COMMIT = r"/([0-9]+)\.json$"
+#: A checkpoint in one file, or one of several: version, part and parts.
+CHECKPOINT = r"/([0-9]+)\.checkpoint(?:\.([0-9]+)\.([0-9]+))?\.parquet$"
 
 _ACTION = """
     add struct<path string, size bigint, stats string,
@@ -20,56 +23,91 @@ _ACTION = """
 _SCHEMA = "fields array<struct<name string, type string>>"
 
 
-def _located(rows: DataFrame, root: str) -> DataFrame:
-    """Adds table (relative to root), version and commit time from the log file's metadata."""
-    path = F.col("_metadata.file_path")
+def _located(path: Column, root: str) -> dict[str, Column]:
+    """Table (relative to root) and version that a log file's path names."""
     base = root.rstrip("/").split("://")[-1]
     folder = F.regexp_extract(path, rf"^(.*)/{LOG}/[^/]*$", 1)
     # the stored path has a scheme in front of the same folder
     start = F.instr(folder, base) + len(base)
     table = F.trim(F.substring(folder, start, F.length(folder)), F.lit("/"))
-    version = F.regexp_extract(path, rf"/{LOG}/([0-9]+)[^/]*$", 1).cast("long")
-    return rows.withColumns(
-        {
-            "table_name": table,
-            "version": version,
-            "committed_at": F.col("_metadata.file_modification_time"),
-        }
-    )
+    return {"table_name": table, "version": F.regexp_extract(path, rf"/{LOG}/([0-9]+)[^/]*$", 1).cast("long")}
+
 
+def _any(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
 
-def _paths(root: str, ending: str) -> list[str]:
-    below = ["/".join([root.rstrip("/"), *["*"] * d, LOG, ending]) for d in range(MAX_DEPTH + 1)]
-    return below
 
+def _folders(spark: SparkSession, root: str, depth: int | None) -> list[str]:
+    """One pattern for each level below root that has log files; with no depth, for all levels there are."""
+    found, level, below = [], 0, root.rstrip("/")
+    while depth is None or level <= depth:
+        if not _any(spark, below):
+            break
+        if _any(spark, f"{below}/{LOG}/*"):
+            found.append(f"{below}/{LOG}/*")
+        level, below = level + 1, f"{below}/*"
+    return found
 
-def read_logs(spark: SparkSession, root: str) -> DataFrame:
-    """(table_name, version, committed_at, value): every commit line below a folder.
 
-    All tables are read by one job. A folder inside a table is not a table of its own.
+def live_files(spark: SparkSession, root: str, depth: int | None = MAX_DEPTH) -> DataFrame:
+    """(path, table_name, version, committed_at, saved): the log files that tell the tables' present state.
+
+    Those are each table's newest whole checkpoint (``saved``), and its commits from that version on; all
+    commits where there is no checkpoint. Only names and times are listed. A folder inside a table is not a
+    table of its own.
     """
-    existing = [p for p in _paths(root, "*.json") if _any(spark, p)]
-    if not existing:
+    patterns = _folders(spark, root, depth)
+    if not patterns:
         return spark.createDataFrame(
-            [], "table_name string, version long, committed_at timestamp, value string"
+            [], "path string, table_name string, version long, committed_at timestamp, saved boolean"
         )
-    lines = _located(
-        spark.read.text(existing).select("value", "_metadata"), root
-    ).drop("_metadata")
-    checkpoints = [p for p in _paths(root, "*.checkpoint*.parquet") if _any(spark, p)]
-    if checkpoints:
-        saved = spark.read.schema(_ACTION).parquet(*checkpoints)
-        packed = saved.select(
-            F.to_json(F.struct("add", "remove", "metaData")).alias("value"), "_metadata"
-        )
-        lines = lines.unionByName(_located(packed, root).drop("_metadata"))
-    return outermost(lines)
+    listed = spark.read.format("binaryFile").load(patterns).select("path", F.col("modificationTime").alias("committed_at"))
+    path = F.col("path")
+    saved = path.rlike(CHECKPOINT)
+    files = listed.where(saved | path.rlike(COMMIT)).withColumns(
+        {**_located(path, root), "saved": saved, "_parts": F.coalesce(F.regexp_extract(path, CHECKPOINT, 3).try_cast("int"), F.lit(1))}
+    )
+    files = outermost(files)
+    whole = (
+        files.where("saved")
+        .groupBy("table_name", "version", "_parts")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where("_n = _parts")
+        .groupBy("table_name")
+        .agg(F.max_by(F.struct("version", "_parts"), F.struct(F.col("version"), -F.col("_parts"))).alias("_from"))
+    )
+    start = F.coalesce(F.col("_from.version"), F.lit(-1))
+    of_it = (F.col("version") == F.col("_from.version")) & (F.col("_parts") == F.col("_from._parts"))
+    return (
+        files.join(whole, "table_name", "left")
+        .where(F.when(F.col("saved"), F.coalesce(of_it, F.lit(False))).otherwise(F.col("version") >= start))
+        .select("path", "table_name", "version", "committed_at", "saved")
+    )
 
 
-def _any(spark: SparkSession, pattern: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+def read_logs(spark: SparkSession, root: str, depth: int | None = MAX_DEPTH) -> DataFrame:
+    """(table_name, version, committed_at, value): the lines of the :func:`live_files` below a folder.
+
+    All tables are read by one job. What is read does not grow with a table's age; the driver holds the
+    paths of these files, as the scan's own list of files does.
+    """
+    files = live_files(spark, root, depth).select("path", "saved").collect()
+    lines = spark.createDataFrame([], "table_name string, version long, committed_at timestamp, value string")
+    # file paths in metadata are encoded
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    at = F.col("_metadata.file_modification_time").alias("committed_at")
+    place = [c.alias(name) for name, c in _located(path, root).items()]
+    commits = [f.path for f in files if not f.saved]
+    if commits:
+        lines = lines.unionByName(spark.read.text(commits).select(*place, at, "value"))
+    checkpoints = [f.path for f in files if f.saved]
+    if checkpoints:
+        saved = spark.read.schema(_ACTION).parquet(*checkpoints)
+        value = F.to_json(F.struct("add", "remove", "metaData")).alias("value")
+        lines = lines.unionByName(saved.select(*place, at, value))
+    return lines
 
 
 def outermost(lines: DataFrame) -> DataFrame:
@@ -110,7 +148,10 @@ def inventory(lines: DataFrame) -> DataFrame:
     actions = lines.withColumn("_a", F.from_json("value", _ACTION))
     latest = actions.groupBy("table_name").agg(
         F.max("version").alias("version"),
-        F.max_by("committed_at", "version").alias("committed_at"),
+        # a version's commit is written before its checkpoint
+        F.max_by("committed_at", F.struct(F.col("version"), -F.unix_micros(F.col("committed_at").cast("timestamp")))).alias(
+            "committed_at"
+        ),
         F.max_by(
             "_a.metaData.schemaString",
             F.when(F.col("_a.metaData.schemaString").isNotNull(), F.col("version")),
@@ -158,15 +199,15 @@ def inventory(lines: DataFrame) -> DataFrame:
     )
 
 
-def problems(tables: DataFrame, root: str) -> DataFrame:
-    """(problem): no table at all, too many, or the first one that cannot be read."""
+def problems(tables: DataFrame, root: str, most: int | None = MAX_TABLES) -> DataFrame:
+    """(problem): no table at all, more than ``most`` (if any number is said), or the first one that cannot be read."""
     unreadable = F.min(F.when(F.col("fields").isNull(), F.col("table_name")))
     named = F.when(F.col("_bad") == "", "the table").otherwise(F.col("_bad"))
     text = (
         F.when(F.col("_n") == 0, F.lit(f"no delta tables under {root}"))
         .when(
-            F.col("_n") > MAX_TABLES,
-            F.lit(f"more than {MAX_TABLES} delta tables under {root}"),
+            F.col("_n") > F.lit(most),
+            F.lit(f"more than {most} delta tables under {root}"),
         )
         .when(
             F.col("_bad").isNotNull(),
@@ -180,5 +221,5 @@ def problems(tables: DataFrame, root: str) -> DataFrame:
     )
 
 
-def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    return inventory(read_logs(spark, root))
+def read_inventory(spark: SparkSession, root: str, depth: int | None = MAX_DEPTH) -> DataFrame:
+    return inventory(read_logs(spark, root, depth))
