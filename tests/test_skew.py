@@ -54,9 +54,9 @@ def test_hot_keys_are_split_and_small_ones_are_not(spark, hot):
 def test_any_number_of_hot_keys_is_split(hot, monkeypatch):
     placed = slotted(hot.events, ["flow"], "at", 3)
     keys = placed.groupBy("flow").agg(F.count_distinct(SLOT).alias("n")).where("n > 1").count()
-    assert keys > 20
     rows = bag(placed)
     # beyond the bound slots are joined by a shuffle, and are the same
+    assert keys > 5
     monkeypatch.setattr(ordered, "MAX_BROADCAST_KEYS", 5)
     assert bag(slotted(hot.events, ["flow"], "at", 3)) == rows
 
