@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.model import Model
 from tidewatch.functions.ordered import neighbours, slotted
-from tidewatch.operators import lists, reliability, runs
+from tidewatch.operators import costs, lists, reliability, runs
 from tidewatch.sinks import export
 
 FOLDER = "/root/testdata/sf0.001"
@@ -67,3 +67,11 @@ def test_carried_in_states_are_not_sorted(events):
     start, until = (F.lit(t).cast("timestamp") for t in ("2024-01-15", "2024-01-20"))
     plan = planned(reliability.period_changes(events.withColumnRenamed("outcome", "state"), start, until))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_prices_are_not_sent_through_the_driver(spark):
+    model = Model(spark, FOLDER)
+    # a few rows of parts become six times as many prices, which Spark's size check does not see
+    for rows in (model.costs, costs.priced_usage(model.usage, model.prices)):
+        plan = planned(rows)
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

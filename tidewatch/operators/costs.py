@@ -19,8 +19,9 @@ WINDOW_DAYS = 40
 def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage with the price valid when it ended; usage without a price drops out.
 
-    An equi-join on the sku with the price interval as a residual condition: the price list
-    becomes a broadcast when Spark measures it as small, else a skew-split sort-merge join.
+    An equi-join on the sku with the price interval as a residual condition, always as a skew-split
+    sort-merge join: Spark's size check takes a price list that comes from exploded rows for as small
+    as the table below it, and would send all of it through the driver.
     """
     same = ["sku", "cloud", "unit"]
     end = F.col("usage_end_time")
@@ -28,7 +29,7 @@ def priced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
         F.col("price_end").isNull() | (end < F.col("price_end"))
     )
     billed = usage.where(F.col("job_id").isNotNull())
-    return billed.join(prices, same).where(valid)
+    return billed.join(prices.hint("merge"), same).where(valid)
 
 
 def job_costs(
