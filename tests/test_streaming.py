@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import tracemalloc
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from checks.model import Model
@@ -218,3 +220,70 @@ def test_a_crash_between_rows_and_mark_exports_no_minute_twice(spark, model, tmp
         export.export_minutes(spark, model.minutes, target, marks, at(now))
     got = spark.read.parquet(target).drop("batch")
     assert rows(got) == rows(export.closed_minutes(model.minutes, at("1970-01-01"), at("2024-01-22 00:00:30")))
+
+
+class Held:
+    """State of one key that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def listTimers(self):
+        return iter([])
+
+    def registerTimer(self, _):
+        pass
+
+
+def test_a_files_state_is_asked_once_a_trigger():
+    held, settle = Held(), stateful.Settle()
+    settle.init(held)
+    polls = [
+        Row(name="f.xml", poll=n, poll_at_us=n, size=5 + (n > 100), modified_us=1, baseline=False) for n in range(1, 201)
+    ]
+    random.Random(3).shuffle(polls)
+    found = [r.poll_at for half in (range(1, 101), range(101, 201)) for r in settle.handleInputRows(
+        ("f", "k"), iter([p for p in polls if p.poll in half]), None
+    )]
+    assert found == [2, 102]
+    assert held.asked <= 4
+
+
+@pytest.mark.parametrize("processor", [stateful.Alerting, stateful.Absence])
+def test_rows_of_a_busy_flow_take_few_bytes(processor):
+    n, made = 30_000, processor()
+    made.init(Held())
+
+    def rows():
+        for i in range(n):
+            at = (i * 7919) % n
+            yield Row(
+                kind="evaluation", rank=2, id=at, at=dt.datetime(2026, 9, 1), at_us=at * 10**6, until_us=None, delivered=True,
+                state="failed" if at % 1000 == 0 else "ok", outcome="start" if at % 1000 else "ok",
+                expected_seconds=500, max_runtime_s=None,
+            )
+
+    tracemalloc.start()
+    found = [tuple(r) for r in made.handleInputRows(("f",), rows(), None)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wanted = range(0, n, 1000)
+    if processor is stateful.Alerting:
+        assert [r[0] for r in found] == [i for k in wanted for i in (k, k + 1)]
+    else:
+        assert [r[1] for r in found] == [(k + 500) * 10**6 for k in wanted]
+    assert peak < 150 * n

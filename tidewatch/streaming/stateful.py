@@ -2,14 +2,17 @@
 
 State is kept per flow, or per file of a flow, in RocksDB. Results do not depend on how rows fall
 into batches, as long as none comes after the watermark has passed it. A trigger's rows of one key
-are put in order; changes of tables need no order.
+are put in order, held as a few numbers each; changes of tables need no order. State is read and
+written once for a key and trigger, as each access asks the JVM.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -38,6 +41,36 @@ def _as_instants(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: F.timestamp_micros(n) for n in names})
 
 
+# stands for a missing whole number
+NOTHING = -(2**63)
+
+
+class Ordered:
+    """The rows of one key by ``order``, names of whole numbers; missing ones come first.
+
+    A row takes some bytes for each number and for a code of its other values, which are few
+    different ones, instead of an object with objects for all of its columns.
+    """
+
+    def __init__(self, rows: Iterable[Row], order: Sequence[str], numbers: Sequence[str], others: Sequence[str]) -> None:
+        self.numbers = [array("q") for _ in numbers]
+        self.codes, known = array("q"), {}
+        for row in rows:
+            for held, name in zip(self.numbers, numbers):
+                value = getattr(row, name)
+                held.append(NOTHING if value is None else value)
+            self.codes.append(known.setdefault(tuple(getattr(row, n) for n in others), len(known)))
+        self.others = list(known)
+        columns = dict(zip(numbers, self.numbers))
+        self.places = np.lexsort([np.frombuffer(columns[n], np.int64) for n in reversed(order)])
+
+    def __iter__(self) -> Iterator[tuple]:
+        """Tuples of the numbers, then of the others."""
+        for place in self.places:
+            found = (held[place] for held in self.numbers)
+            yield *(None if v == NOTHING else v for v in found), *self.others[self.codes[place]]
+
+
 class Absence(StatefulProcessor):
     """Raises late and still-running flows once for each gap that time or a later report shows."""
 
@@ -52,23 +85,22 @@ class Absence(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = self.seen.get() if self.seen.exists() else (None, None, -1, False, 0, None, False, False)
         last_ok, at, number, running, expected, max_runtime, late_said, stuck_said = old
-        found = []
-        for row in sorted(rows, key=lambda r: (r.at_us, r.id)):
+        numbers = ["at_us", "id", "expected_seconds", "max_runtime_s"]
+        for at_us, row_id, expects, may_run, outcome in Ordered(rows, ["at_us", "id"], numbers, ["outcome"]):
             for due, state, since in self._deadlines(last_ok, at, running, expected, max_runtime, late_said, stuck_said):
-                if due < row.at_us:
-                    found.append(self._raised(key, due, state, since))
+                if due < at_us:
+                    yield self._raised(key, due, state, since)
                     late_said, stuck_said = late_said or state == "late", stuck_said or state == "failed"
-            expected, max_runtime = row.expected_seconds, row.max_runtime_s
-            if row.outcome == "ok" and (last_ok is None or row.at_us > last_ok):
-                last_ok, late_said = row.at_us, False
-            if at is None or (row.at_us, row.id) > (at, number):
-                at, number, running, stuck_said = row.at_us, row.id, row.outcome == "start", False
+            expected, max_runtime = expects, may_run
+            if outcome == "ok" and (last_ok is None or at_us > last_ok):
+                last_ok, late_said = at_us, False
+            if at is None or (at_us, row_id) > (at, number):
+                at, number, running, stuck_said = at_us, row_id, outcome == "start", False
         self.seen.update((last_ok, at, number, running, expected, max_runtime, late_said, stuck_said))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         for due, _, _ in self._deadlines(last_ok, at, running, expected, max_runtime, late_said, stuck_said):
             self.handle.registerTimer(due // 1000)
-        return iter(found)
 
     @staticmethod
     def _deadlines(last_ok, at, running, expected, max_runtime, late_said, stuck_said) -> list[tuple[int, str, int]]:
@@ -128,9 +160,9 @@ class Settle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         found = []
+        old = self.before.get() if self.before.exists() else None
         # one row per poll: a trigger brings few of them
         for row in sorted(rows, key=lambda r: r.poll):
-            old = self.before.get() if self.before.exists() else None
             if old is not None and old[0] != row.poll - 1:
                 old = None
             same = old is not None and (old[1], old[2]) == (row.size, row.modified_us)
@@ -139,9 +171,7 @@ class Settle(StatefulProcessor):
             first_seen = row.poll_at_us if old is None else old[3]
             counted = inherited or (same and old[4])
             arrived = settled and not counted and row.size > 0
-            self.before.update(
-                (row.poll, row.size, row.modified_us, first_seen, settled or counted)
-            )
+            old = (row.poll, row.size, row.modified_us, first_seen, settled or counted)
             if arrived:
                 found.append(
                     Row(
@@ -152,6 +182,7 @@ class Settle(StatefulProcessor):
                         poll_at=row.poll_at_us,
                     )
                 )
+        self.before.update(old)
         return iter(found)
 
     def close(self) -> None:
@@ -165,7 +196,9 @@ def settled_files(listings: DataFrame) -> DataFrame:
     with many files is spread over many keys.
     """
     prepared(listings.sparkSession)
-    rows = _as_micros(listings, "poll_at", "modified")
+    rows = _as_micros(listings, "poll_at", "modified").select(
+        "flow", "key", "name", "poll", "poll_at_us", "size", "modified_us", "baseline"
+    )
     arrived = rows.groupBy("flow", "key").transformWithState(
         statefulProcessor=Settle(),
         outputStructType="flow string, at long, detail string, bytes double, poll_at long",
@@ -187,34 +220,23 @@ class Alerting(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state, silent = self.alerted.get() if self.alerted.exists() else ("pending", None)
-        found = []
-        # ends of silences come before their starts, and both before evaluations
-        order = {"unsilence": 0, "silence": 1, "evaluation": 2}
-        for row in sorted(rows, key=lambda r: (r.at_us, order[r.kind], r.id)):
-            if silent is not None and silent <= row.at_us:
+        numbers, order = ["at_us", "rank", "id", "until_us"], ["at_us", "rank", "id"]
+        for at, _, number, until, kind, now, delivered in Ordered(rows, order, numbers, ["kind", "state", "delivered"]):
+            if silent is not None and silent <= at:
                 state, silent = "pending", None
-            if row.kind == "silence":
-                silent = row.until_us
-            elif row.kind == "unsilence":
+            if kind == "silence":
+                silent = until
+            elif kind == "unsilence":
                 state, silent = "pending", None
-            elif row.state != "maintenance" and silent is None and row.state != state:
-                attention = row.state in ATTENTION
-                recovery = row.state == "ok" and state in ATTENTION
+            elif now != "maintenance" and silent is None and now != state:
+                attention = now in ATTENTION
+                recovery = now == "ok" and state in ATTENTION
                 if attention or recovery:
                     decision = "alert" if attention else "recovery"
-                    found.append(
-                        Row(
-                            id=row.id,
-                            flow=key[0],
-                            at=row.at_us,
-                            state=row.state,
-                            decision=decision,
-                        )
-                    )
-                if row.delivered or not (attention or recovery):
-                    state = row.state
+                    yield Row(id=number, flow=key[0], at=at, state=now, decision=decision)
+                if delivered or not (attention or recovery):
+                    state = now
         self.alerted.update((state, silent))
-        return iter(found)
 
     def close(self) -> None:
         pass
@@ -227,7 +249,12 @@ def alerting(stream: DataFrame) -> DataFrame:
     or unsilence. The checkpoint is what makes each alert go out once.
     """
     prepared(stream.sparkSession)
-    said = _as_micros(stream, "at", "until").groupBy("flow").transformWithState(
+    # ends of silences come before their starts, and both before evaluations
+    rank = F.when(F.col("kind") == "unsilence", 0).when(F.col("kind") == "silence", 1).otherwise(2)
+    rows = _as_micros(stream, "at", "until").select(
+        "flow", "at_us", rank.alias("rank"), "id", "until_us", "kind", "state", "delivered"
+    )
+    said = rows.groupBy("flow").transformWithState(
         statefulProcessor=Alerting(),
         outputStructType="id long, flow string, at long, state string, decision string",
         outputMode="Append",
