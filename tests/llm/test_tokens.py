@@ -247,3 +247,13 @@ def test_merge_replay_queries(spark, folder, given, odd, empty):
     back = merge_replay.decoded(ids, RANKS, public_tokenizers.PATTERN).collect()
     assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in back) == wanted
     assert merge_replay.round_trip(empty, RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_plain_words_are_told_without_decoding():
+    from tidewatch.llm import word_ids
+
+    for text in ("abc", "Abc", "a1", "", "a-b", "été", "Été", "ɐb", "ß", "пес", "á", "ǆ", "中"):
+        wanted = text.isalpha() and max(text) < word_ids.LATIN_END and text == text.lower()
+        assert word_ids._plain(text.encode()) == wanted
+    assert word_ids._missing([None, b"a", None, None, b""]) == [0, 2, 3]
+    assert word_ids._missing([b"a"]) == [] == word_ids._missing([])

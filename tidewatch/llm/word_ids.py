@@ -45,6 +45,23 @@ def blocks(data: bytes) -> Iterator[bytes]:
     yield data[start:] if start else data
 
 
+def _missing(ids: list[bytes | None]) -> list[int]:
+    """The places of nulls; they are few, and looked for without a step of Python for each of the others."""
+    found, at = [], -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        found.append(at)
+    return found
+
+
+def _plain(stem: bytes) -> bool:
+    """Whether it is a word of small Latin letters, which its tokenizer takes as it is."""
+    if stem.isascii():
+        return stem.isalpha() and stem.islower()
+    word = stem.decode()
+    return word.isalpha() and max(word) < LATIN_END and word == word.lower()
+
+
 class WordEncoder:
     """encode() gives the ids of texts as little-endian unsigned integers of `width` bytes."""
 
@@ -101,7 +118,7 @@ class WordEncoder:
         return [b"".join(x if isinstance(x, bytes) else b"".join(x) for x in own) for own in done]
 
     def _fill(self, waiting: list[tuple[list[bytes | None], list[bytes]]]) -> None:
-        gaps = [[i for i, v in enumerate(ids) if v is None] for ids, _ in waiting]
+        gaps = [_missing(ids) for ids, _ in waiting]
         missing = {chunks[i] for (_, chunks), at in zip(waiting, gaps) for i in at}
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
@@ -113,20 +130,21 @@ class WordEncoder:
 
     def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks: of plain words many in one call, with the signs after them added."""
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
+        signed: list[tuple[bytes, bytes, bytes]] = []
         words: set[bytes] = set()
         others: set[bytes] = set()
         for chunk in chunks:
             stem = chunk.rstrip(TRAILING)
-            word = stem.decode() if stem else ""
-            if word.isalpha() and word < LATIN_END and max(word) < LATIN_END and word == word.lower():
-                stems[chunk] = stem, chunk[len(stem) :]
+            if not _plain(stem):
+                others.add(chunk)
+            elif len(stem) < len(chunk):
+                tail = chunk[len(stem) :]
+                signed.append((chunk, stem, tail))
                 words.add(stem)
-                if len(stem) < len(chunk):
-                    others.add(chunk[len(stem) :])
+                others.add(tail)
             else:
-                others.add(chunk)
-        found = {w: self.known[w] for w in words | others if w in self.known}
+                words.add(chunk)
+        found = {w: self.known[w] for some in (words, others) for w in some if w in self.known}
         rest = [w for w in words if w not in found]
         for i in range(0, len(rest), TOGETHER):
             some = rest[i : i + TOGETHER]
@@ -143,7 +161,9 @@ class WordEncoder:
             some = single[i : i + TOGETHER]
             got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
             found.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(some, got))
-        return {c: found[stems[c][0]] + (found[stems[c][1]] if stems[c][1] else b"") if c in stems else found[c] for c in chunks}
+        for chunk, stem, tail in signed:
+            found[chunk] = found[stem] + found[tail]
+        return {c: found[c] for c in chunks}
 
 
 _encoders: dict[str, WordEncoder] = {}
