@@ -69,6 +69,8 @@ HELD, FAN_IN = 2_000, 64
 # null; CHILDREN_, places in it; BLOCKS, numbers of a page's own text blocks.
 LABEL, LEAST, MOST, SEEN, CHARS, LINKED, CONSTANT, CHILDREN_, BLOCKS = range(9)
 TEXT = "#"
+#: What a place has none of; never changed, so all share it.
+NONE: list = []
 
 
 def digest(text: str) -> int:
@@ -191,14 +193,18 @@ class Page:
         in_links = 0
         deep: Counter[str] = Counter()
 
+        def within() -> str:
+            """The nature of the innermost element that is no inline one."""
+            return stack[-1][2] if stack[-1][1] is not None else next(s[2] for s in reversed(stack) if s[1] is not None)
+
         def flush() -> None:
             nonlocal in_links
             if held:
                 text = " ".join(html.unescape("".join(held)).split())
                 held.clear()
                 if text:
-                    inner = stack[-1][2] if stack[-1][1] is not None else next(s[2] for s in reversed(stack) if s[1] is not None)
-                    place = [TEXT, 1, 1, [], len(text), min(in_links, len(text)), digest(text), [], [len(self.blocks)]]
+                    inner = within()
+                    place = [TEXT, 1, 1, NONE, len(text), min(in_links, len(text)), digest(text), NONE, [len(self.blocks)]]
                     places[-1][CHILDREN_].append(place)
                     self.blocks.append(text)
                     self.natures.append(inner)
@@ -236,13 +242,13 @@ class Page:
                     self._close(stack, {"p"}, {"td", "th", "li", "div", "article", "section", "body", "blockquote"}, pop)
                     flush()
                     label, nature = _nature(value, attributes)
-                    above = next(s[2] for s in reversed(stack) if s[1] is not None)
+                    above = within()
                     if above == "o" or above == "a" and nature in "-ha":
                         nature = above
                     elif above == "h" and nature == "-":
                         nature = "h"
                     self.has_article |= nature == "a"
-                    place = [label, 1, 1, [], 0, 0, None, [], []]
+                    place = [label, 1, 1, NONE, 0, 0, None, [], []]
                     if len(places) < DEEPEST:
                         places[-1][CHILDREN_].append(place)
                         places.append(place)
@@ -378,7 +384,7 @@ def merged(one: list, other: list) -> list:
         one[CHARS] + other[CHARS],
         one[LINKED] + other[LINKED],
         one[CONSTANT] if one[CONSTANT] == other[CONSTANT] else None,
-        together(one[CHILDREN_], other[CHILDREN_]),
+        together(one[CHILDREN_], other[CHILDREN_]) if one[CHILDREN_] or other[CHILDREN_] else NONE,
         one[BLOCKS],
     ]
 
@@ -389,7 +395,10 @@ def _optional(place: list) -> list:
 
 def together(one: list, other: list) -> list:
     """Two rows of places as one: mismatches become optional."""
-    rows = [merged(x, y) if x and y else _optional(x or y) for x, y in aligned(one, other)]
+    if len(one) == len(other) and all(x[LABEL] == y[LABEL] for x, y in zip(one, other)):
+        rows = list(map(merged, one, other))  # as usual: nothing to align
+    else:
+        rows = [merged(x, y) if x and y else _optional(x or y) for x, y in aligned(one, other)]
     if len(rows) > CHILDREN:
         by_label: dict[str, list] = {}
         for place in rows:
@@ -409,7 +418,10 @@ def folded(places: list) -> list:
             place = [*place[:CHILDREN_], folded(place[CHILDREN_]), place[BLOCKS]]
         rows.append(place)
         for size in (1, 2, 3):
-            if len(rows) >= 2 * size and all(rows[-k][LABEL] == rows[-k - size][LABEL] for k in range(1, size + 1)):
+            if len(rows) < 2 * size:
+                break
+            # most neighbours differ in their last place already
+            if rows[-1][LABEL] == rows[-1 - size][LABEL] and all(rows[-k][LABEL] == rows[-k - size][LABEL] for k in range(2, size + 1)):
                 group = [merged(a, b) for a, b in zip(rows[-2 * size : -size], rows[-size:])]
                 rows[-2 * size :] = [[p[LABEL], p[LEAST], 2, *p[SEEN:]] for p in group]
                 break
